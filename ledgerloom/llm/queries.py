@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pii, secret_scan
+from . import kneser_ney, packing, pii, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out()))
+    scored = kneser_ney.score(docs, model)
+    return scored.select(
+        "doc_id",
+        kneser_ney.held_out().alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(_read(spark, sf_dir, "documents")))
 
@@ -24,6 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_kneser_ney": op2_kneser_ney,
     "op4_pii": op4_pii,
     "op7_secrets": op7_secrets,
     "op10_packing": op10_packing,
