@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, packing, pii, secret_scan
+from . import kneser_ney, packing, pii, secret_scan, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(_read(spark, sf_dir, "documents")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(_read(spark, sf_dir, "documents")))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(_read(spark, sf_dir, "documents")))
 
@@ -42,6 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_kneser_ney": op2_kneser_ney,
     "op4_pii": op4_pii,
+    "op5_simhash": op5_simhash,
     "op7_secrets": op7_secrets,
     "op10_packing": op10_packing,
 }
