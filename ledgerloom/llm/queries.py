@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, packing, pii, secret_scan, signhash, simhash
+from . import kdtree, kneser_ney, packing, pii, secret_scan, signhash, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(_read(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_kneser_ney": op2_kneser_ney,
+    "op3_kdtree": op3_kdtree,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op7_secrets": op7_secrets,

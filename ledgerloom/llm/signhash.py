@@ -6,7 +6,7 @@ cosines in double precision, adds up how many vectors each node links to and emi
 that shares codes in several tables is counted in the first of them alone, for which rows carry all codes. Codes with
 more than ``block`` nodes are dealt out as pairs of blocks; nothing is capped.
 
-The code length follows the mean label size, so that a code holds some tens of nodes; the number of tables follows
+The code length follows the mean label size, so that a code holds a few hundred nodes; the number of tables follows
 from it such that a pair at the threshold is missed with a chance of ``miss`` at most.
 """
 
@@ -25,9 +25,15 @@ from . import common as C
 SUB = 1024
 
 
+def width_of(rows: DataFrame, vector_column: str) -> str:
+    """The numpy type in which a column's components are kept: that of the column, so nothing is rounded."""
+    return "<f4" if rows.schema[vector_column].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def vectors(rows: DataFrame, vector_column: str, keep: list[str]) -> DataFrame:
-    """The kept columns and ``vec``: the components as bytes of doubles; null for what takes no part (null, empty,
+    """The kept columns and ``vec``: the components' bytes; null for what takes no part (null, empty,
     zero, or with a null or non-finite component)."""
+    width = width_of(rows, vector_column)
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +45,7 @@ def vectors(rows: DataFrame, vector_column: str, keep: list[str]) -> DataFrame:
                     x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                     if not np.isfinite(x).all() or not x.any() or not np.isfinite(x @ x) or x @ x == 0:
                         x = None
-                out.append(None if x is None else (x + 0.0).tobytes())  # -0.0 becomes 0.0
+                out.append(None if x is None else (x + 0.0).astype(width).tobytes())  # -0.0 becomes 0.0
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(out, pa.binary())],
                 names=[*batch.schema.names[:-1], "vec"],
@@ -50,7 +56,7 @@ def vectors(rows: DataFrame, vector_column: str, keep: list[str]) -> DataFrame:
 
 def tables_for(nodes: int, labels: int, threshold: float, miss: float) -> tuple[int, int]:
     """Bits of a code and number of tables."""
-    bits = min(max(4, math.ceil(math.log2(max(nodes / max(labels, 1) / 64, 2)))), 30)
+    bits = min(max(4, math.ceil(math.log2(max(nodes / max(labels, 1) / 256, 2)))), 30)
     agree = (1 - math.acos(min(max(threshold, -1), 1)) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-min(agree, 1 - 1e-9))))
 
@@ -88,7 +94,7 @@ def _solve(ids, mult, x, codes, block, table, threshold):
 def near_duplicates(
     rows: DataFrame,
     threshold: float = 0.98,
-    miss: float = 1e-3,
+    miss: float = 1e-6,
     block: int = 8192,
     seed: int = 42,
     id_column: str = "vec_id",
@@ -101,7 +107,7 @@ def near_duplicates(
     dimensions) links with nothing and is its own component. Rows with equal ids share their links. Other columns are
     ignored.
     """
-    spark = rows.sparkSession
+    spark, width = rows.sparkSession, width_of(rows, vector_column)
     given = C.table(vectors(rows, vector_column, [id_column, label_column]).toDF("id", "label", "vec"), "vectors")
     valid = given.where("id is not null and label is not null and vec is not null")
     nodes = C.table(valid.groupBy("label", "vec").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("mult")), "nodes")
@@ -116,7 +122,7 @@ def near_duplicates(
             sizes = np.array([len(r) for r in raw], np.int64)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
+                x = np.frombuffer(b"".join(raw[i] for i in at), width).astype(np.float64).reshape(len(at), -1)
                 if size not in planes:
                     planes[size] = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
                 codes = ((x @ planes[size] > 0).reshape(len(at), tables, bits) * weights).sum(axis=2).astype(np.uint32)
@@ -164,7 +170,7 @@ def near_duplicates(
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a < 2 or len({len(r) for r in raw[a:b]}) > 1:
                     continue
-                x = np.frombuffer(b"".join(raw[a:b]), np.float64).reshape(b - a, -1)
+                x = np.frombuffer(b"".join(raw[a:b]), width).astype(np.float64).reshape(b - a, -1)
                 c = np.frombuffer(b"".join(codes[a:b]), np.uint32).reshape(b - a, -1)
                 counts, root = _solve(node[a:b], mult[a:b], x, c, block[a:b], int(tab[a]), threshold)
                 some = np.flatnonzero(counts)
