@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, kneser_ney, packing, pii, secret_scan, signhash, simhash
+from . import kdtree, kneser_ney, packing, pii, recompress, secret_scan, signhash, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(_read(spark, sf_dir, "documents")))
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(recompress.remove_repeats(_read(spark, sf_dir, "documents")))
+
+
 def op9_signhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signhash.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op7_secrets": op7_secrets,
+    "op8_recompression": op8_recompression,
     "op9_signhash": op9_signhash,
     "op10_packing": op10_packing,
 }
