@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, kneser_ney, packing, pii, recompress, secret_scan, signhash, simhash
+from . import kdtree, kneser_ney, packing, pii, recompress, secret_scan, signhash, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(_read(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "expected_severity", "grade", "p_toxic", "toxic")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(_read(spark, sf_dir, "documents")))
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op3_kdtree": op3_kdtree,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_recompression": op8_recompression,
     "op9_signhash": op9_signhash,
