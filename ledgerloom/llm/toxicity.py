@@ -3,11 +3,12 @@
 Features of a text are its words and their beginnings of four, five and six bytes (A-Z in lower case, punctuation
 off), so compounds share the feature of their stem. Features that are far more frequent in toxic documents of a
 bounded, labelled sample are kept; their weights are shared by all thresholds of the model
-``P(grade <= k) = sigmoid(threshold_k - w . x)`` with x = log(1 + count), fitted by full-batch Adam.
+``P(grade <= k) = sigmoid(threshold_k - w . x)`` with x = log2(1 + count), fitted by full-batch Adam.
 
 Grades: a column of the labels, if one is named; else 0 for documents labelled clean, and 1 to 3 for those labelled
 toxic, by thirds of how many kept features they hold. The expected severity is the sum of the chances of exceeding
-each threshold; a document is toxic if its chance of grade 1 or more is at least ``cut``.
+each threshold; a document is toxic if its chance of grade 1 or more is at least ``cut``, by default the least chance
+for which the wanted share of the sample's rejected documents is labelled toxic.
 
 Fitting uses at most ``max_rows`` documents of either label (those with the smallest hash of their id), so what the
 driver holds is bounded whatever the input. Scoring is one narrow pass over whole texts.
@@ -41,7 +42,7 @@ class Model:
 
     def above(self, counts: np.ndarray) -> np.ndarray:
         """The chances of exceeding each threshold, from rows of feature counts."""
-        return self.above_of(np.log1p(counts) @ self.weights)
+        return self.above_of(np.log2(1 + counts) @ self.weights)
 
     def above_of(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -60, 60)))
@@ -66,7 +67,8 @@ def fit(
     max_features: int = 1000,
     least: int = 3,
     lift: float = 20.0,
-    cut: float = 0.5,
+    cut: float | None = None,
+    precision: float = 1.0,
     grade_column: str | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -100,7 +102,7 @@ def fit(
     rows = chosen.select("text", "y").mapInArrow(extract, "y int, features binary, counts binary").collect()  # 2 * max_rows at most
     y = np.array([r["y"] for r in rows], np.int64)
     held = [(np.frombuffer(r["features"], C.U), np.frombuffer(r["counts"], np.uint8)) for r in rows]
-    nothing = Model(np.empty(0, C.U), np.empty(0), np.array([30.0]), cut)
+    nothing = Model(np.empty(0, C.U), np.empty(0), np.array([30.0]), 0.5)
     n_toxic, n_clean = int((y > 0).sum()), int((y <= 0).sum())
     if not n_toxic or not n_clean:
         return nothing
@@ -124,11 +126,21 @@ def fit(
         y[y > 0] = 1 + np.searchsorted(np.quantile(amount, [1 / 3, 2 / 3]), amount, side="left")
     else:
         y = np.searchsorted(np.unique(y), y)
-    weights, thresholds = ordinal(np.log1p(x), y)
-    return Model(kept, weights, thresholds, cut)
-
-
-def ordinal(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    weights, thresholds = ordinal(np.log2(1 + x), y)
+    model = Model(kept, weights, thresholds, 0.5 if cut is None else cut)
+    if cut is None:
+        chance = model.above(x)[:, 0]
+        order = np.argsort(-chance, kind="stable")
+        right = np.cumsum(y[order] > 0) / np.arange(1, len(y) + 1)
+        last = np.append(chance[order][1:] < chance[order][:-1], True)  # equal chances are rejected together
+        good = np.flatnonzero(last & (right >= precision))
+        if len(good):
+            below = chance[order][good[-1] + 1] if good[-1] + 1 < len(y) else 0.0
+            model.cut = float((chance[order][good[-1]] + below) / 2)
+    return model
+
+
+def ordinal(x: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds of the cumulative-link model, by Adam on the mean negative log likelihood."""
     top = int(y.max())
     share = np.array([(y <= k).mean() for k in range(top)])
@@ -172,7 +184,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                     hit = model.features[at] == h
                     pair, count = np.unique(doc[hit] * len(model.features) + at[hit], return_counts=True)
                     z += np.bincount(
-                        pair // len(model.features), np.log1p(np.minimum(count, 255)) * model.weights[pair % len(model.features)], minlength=end - row
+                        pair // len(model.features), np.log2(1 + np.minimum(count, 255)) * model.weights[pair % len(model.features)], minlength=end - row
                     )
                 above = model.above_of(z)
                 chance = np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], axis=1)
