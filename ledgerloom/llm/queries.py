@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, kneser_ney, packing, pii, recompress, secret_scan, signhash, simhash, toxicity
+from . import kdtree, kneser_ney, mixing, packing, pii, recompress, secret_scan, signhash, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser_ney.train(docs.where(~kneser_ney.held_out()))
@@ -62,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_kneser_ney": op2_kneser_ney,
     "op3_kdtree": op3_kdtree,
     "op4_pii": op4_pii,
@@ -73,4 +78,6 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.SQL,
+}
