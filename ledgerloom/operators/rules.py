@@ -18,6 +18,11 @@ SCHEMA = (
 )
 
 
+def _first(text: str, pattern: str, group: int = 1) -> Column:
+    """A group of the first match of a pattern column, whatever the case."""
+    return F.expr(f"regexp_extract(`{text}`, concat('(?i)', `{pattern}`), {group})")
+
+
 def ordered(rules: DataFrame, carrier_id: int | None = None) -> DataFrame:
     """Active rules (of one carrier) with ``rank``: best score first, then sort order, then id."""
     rows = rules.where("is_active")
@@ -40,7 +45,7 @@ def overlay(docs: DataFrame, rules: DataFrame, id_column: str = "doc_id", text_c
     """
     chosen = ordered(rules).where(kind() == "summary").select("carrier_id", "field_name", "regex_pattern", "rank")
     hits = docs.select(id_column, "carrier_id", F.col(text_column).alias("_t")).join(chosen, "carrier_id")
-    hits = hits.withColumn("value", S.trimmed(F.regexp_extract("_t", F.concat(F.lit("(?i)"), F.col("regex_pattern")), 1))).where("value is not null")
+    hits = hits.withColumn("value", S.trimmed(_first("_t", "regex_pattern"))).where("value is not null")
     pick = F.min_by("value", "rank") if best_wins else F.max_by("value", "rank")
     return hits.groupBy(id_column, F.col("field_name").alias("field")).agg(pick.alias("value"))
 
@@ -49,8 +54,7 @@ def charge_overlay(lines: DataFrame, rules: DataFrame, id_column: str = "doc_id"
     """Charges that charge rules with two groups (description, amount) find in lines (id, carrier_id, pos, line)."""
     chosen = ordered(rules).where(kind() == "charge").select("carrier_id", "regex_pattern", "rank")
     hits = lines.join(chosen, "carrier_id")
-    full = F.concat(F.lit("(?i)"), F.col("regex_pattern"))
-    hits = hits.select(id_column, "pos", "rank", S.trimmed(F.regexp_extract("line", full, 1)).alias("charge_desc"), S.money(F.regexp_extract("line", full, 2)).alias("amount"))
+    hits = hits.select(id_column, "pos", "rank", S.trimmed(_first("line", "regex_pattern")).alias("charge_desc"), S.money(_first("line", "regex_pattern", 2)).alias("amount"))
     return hits.where("charge_desc is not null and amount is not null").withColumn("amount", F.round("amount", 2).cast(S.MONEY))
 
 
@@ -80,7 +84,7 @@ def induce(docs: DataFrame, truth: DataFrame, id_column: str = "doc_id", text_co
     label = F.trim(F.expr("substring(line, 1, instr(line, value) - 1)"))
     near = near.withColumn("label", F.regexp_replace(label, r"[\s$]+$", "")).where((F.length("label") >= 3) & F.regexp_like("label", F.lit("[A-Za-z].*[A-Za-z]")))
     near = near.withColumn("pattern", F.concat(S.regex_escape("label"), F.lit(r"\s*\$?\s*"), capture("field")))
-    near = near.where(S.trimmed(F.regexp_extract("_t", F.concat(F.lit("(?i)"), F.col("pattern")), 1)) == F.col("value"))
+    near = near.where(S.trimmed(_first("_t", "pattern")) == F.col("value"))
     best = F.row_number().over(Window.partitionBy(id_column, "field").orderBy(F.desc(F.length("label")), "pos"))
     return near.withColumn("_n", best).where("_n = 1").select(id_column, "field", "value", "pattern")
 
