@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Bytes of text that are turned into arrays at a time; a longer document is taken whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -92,7 +93,13 @@ def get_array(uri: str, dtype) -> np.ndarray:
 
 
 # ---------------------------------------------------------------------------------------------- text buffers
-def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold fewer rows, so that long texts do not add up in a worker; applies to the session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def text_chunks(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (first row, end row, bytes, offsets) of a batch of about CHUNK_BYTES; null texts are empty."""
     texts = pc.fill_null(batch.column(column), "")
     if not pa.types.is_large_string(texts.type):
@@ -107,12 +114,13 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and documents of the words ``[^\\x20\\x09-\\x0D]+``; a word never crosses documents."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and documents of the words ``[^\\x20\\x09-\\x0D]+``, or of runs of bytes that are not ``between``; a
+    word never crosses documents."""
     if not len(data):
         none = np.empty(0, dtype=np.int64)
         return none, none, none
-    solid = ~SPACE[data]
+    solid = ~between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets[(offsets >= 0) & (offsets <= len(data))]] = True
     first = solid.copy()
@@ -120,7 +128,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    per_doc = np.diff(np.searchsorted(starts, offsets))
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), per_doc)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,6 +144,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: list[np.ndarray] = [np.empty(0, U), np.empty(0, U)]
+_BLOCK = 1 << 15
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03)) | U(1)
 
@@ -149,11 +159,34 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             _POWERS[k] = np.cumprod(steps)
     sums = np.empty(len(data) + 1, dtype=U)
     sums[0] = 0
-    np.cumsum(_BYTE[data] * _POWERS[0][: len(data)], out=sums[1:])
+    for a in range(0, len(data), _BLOCK):  # blocks that stay in the processor's cache
+        part = slice(a + 1, min(a + _BLOCK, len(data)) + 1)
+        np.take(_BYTE, data[a : a + _BLOCK], out=sums[part], mode="clip")
+        sums[part] *= _POWERS[0][a : a + _BLOCK][: part.stop - part.start]
+        sums[part.start : part.start + 1] += sums[a : a + 1]
+        np.cumsum(sums[part], out=sums[part])
     h = (sums[ends] - sums[starts]) * _POWERS[1][starts]
     return mix(h + mix((ends - starts).astype(U)))
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and for every item the number of its value; by hashing, not sorting."""
+    codes, values = pd.factorize(h)
+    place = np.empty(len(values), np.int64)
+    place[codes] = np.arange(len(h))
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return values[order], place[order], rank[codes]
+
+
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each comes."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     """Ranges of the 64-bit space, so that shards in order hold hashes in order."""
     return ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)

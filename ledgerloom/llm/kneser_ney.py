@@ -31,7 +31,7 @@ _MERGE = 4_000_000
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     k, c = np.concatenate([np.empty(0, C.U), *keys]), np.concatenate([np.empty(0, np.int64), *counts])
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
     return k[first], (np.add.reduceat(c, first) if len(first) else c)
@@ -47,7 +47,7 @@ class Counter:
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
         if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
+            keys, counts = C.tally(keys)
         self.keys.append(keys)
         self.counts.append(counts)
         self.held += len(keys)
@@ -166,10 +166,10 @@ class Model:
 
     def log10(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log10 probabilities of bigrams given by numbers."""
-        keys, inverse = np.unique(contexts.astype(C.U) << C.U(32) | words.astype(C.U), return_inverse=True)
+        keys, _, inverse = C.distinct(contexts.astype(C.U) << C.U(32) | words.astype(C.U))
         v, w = (keys >> C.U(32)).astype(np.int64), (keys & C.U(0xFFFFFFFF)).astype(np.int64)
         dw = self.word_discounts
-        ids, back = np.unique(w, return_inverse=True)
+        ids, _, back = C.distinct(w)
         seen = self.dense("continuation", ids, 1)[:, 0]
         once, twice, more, total, _ = self.continuations
         uniform = 1.0 / (self.words + 1)
@@ -178,7 +178,7 @@ class Model:
             lower = (np.maximum(seen - dw[np.minimum(seen, 3)], 0) / total + left * uniform)[back]
         else:
             lower = np.full(len(keys), uniform)
-        ids, back = np.unique(v, return_inverse=True)
+        ids, _, back = C.distinct(v)
         stats = self.dense("context", ids, 4)[back]
         count, d = self.bigrams(keys), self.bigram_discounts
         whole = stats[:, 0]
@@ -192,7 +192,7 @@ def _tokens(model: Model, data: np.ndarray, offsets: np.ndarray):
     low = C.LOWER[data]
     s, e, doc = C.words(low, offsets)
     h = np.append(C.word_hashes(low, s, e), END_HASH)
-    distinct, inverse = np.unique(h, return_inverse=True)
+    distinct, _, inverse = C.distinct(h)
     ids, counts = model.number(distinct)
     docs = len(offsets) - 1
     ends = np.searchsorted(doc, np.arange(docs), side="right")
@@ -218,6 +218,7 @@ def _blobs(shard: np.ndarray, n: int, columns: list) -> pa.RecordBatch:
 def train(docs: DataFrame, text_column: str = "text") -> Model:
     """Count a corpus and write the model's arrays to the shared folder."""
     spark = docs.sparkSession
+    C.small_batches(spark)
     n, folder = C.shards(spark), C.shared_folder(spark, "kneser-ney")
     docs = docs.select(F.col(text_column).cast("string").alias("text"))
 

@@ -82,7 +82,7 @@ class Schedule:
         low = np.maximum(self.window_near(queue, start) - 1, 0)
         high = self.window_near(queue, start + size - 1) + 2
         count = high - low
-        need = np.unique(T.spread(low, count + 1)) if len(low) else np.empty(0, np.int64)
+        need = C.tally(T.spread(low, count + 1))[0] if len(low) else np.empty(0, np.int64)
         sent = self.sent(need)
         row = np.repeat(np.arange(len(queue)), count)
         window = T.spread(low, count)
@@ -127,6 +127,7 @@ def pack(
     their own. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    C.small_batches(spark)
     path = T.tokenizer_path(path)
     kind = docs.schema[id_column].dataType.simpleString()
     docs = docs.select(

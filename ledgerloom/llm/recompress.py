@@ -229,6 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     equal windows at equal starts of them do not count as earlier. Other columns are ignored.
     """
     spark = docs.sparkSession
+    C.small_batches(spark)
     n, folder = C.shards(spark), C.shared_folder(spark, "recompression")
     kind = docs.schema[id_column].dataType.simpleString()
     docs = docs.select(

@@ -61,12 +61,12 @@ def vocabulary(docs: DataFrame, path: str, text_column: str = "text") -> tuple[s
         for batch in batches:
             for _, _, data, offsets in C.text_chunks(batch, "text"):
                 s, e, _ = C.words(data, offsets)
-                h, first = np.unique(C.word_hashes(data, s, e), return_index=True)
+                h, first, _ = C.distinct(C.word_hashes(data, s, e))
                 if len(seen):
                     at = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
                     new = seen[at] != h
                     h, first = h[new], first[new]
-                seen = np.union1d(seen, h) if len(seen) else h
+                seen = np.sort(np.concatenate([seen, h]))
                 edges, raw = C.cut(h, n), data.tobytes()
                 found = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
                 full = [k for k in range(n) if edges[k] < edges[k + 1]]
@@ -130,7 +130,7 @@ class Words:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk one after the other, and where each text's begin."""
         s, e, doc = C.words(data, offsets)
-        h, first, inverse = np.unique(C.word_hashes(data, s, e), return_index=True, return_inverse=True)
+        h, first, inverse = C.distinct(C.word_hashes(data, s, e))
         sizes = np.zeros(len(h), dtype=np.int64)
         pools: list[np.ndarray] = []
         edges, missing = C.cut(h, self.n), []
