@@ -87,7 +87,7 @@ SUMMARY: dict[str, list[str]] = {
     ),
 }
 
-_ACCOUNT_BODY = r"([0-9][0-9\-\s.()]*)"
+_ACCOUNT_BODY = r"([0-9(][0-9\-\s.()]*)"
 ACCOUNT = [
     f"{_I}{x}\\s*{_ACCOUNT_BODY}"
     for x in (
