@@ -82,45 +82,57 @@ def fit(
     sample = known.where("y > 0").orderBy(order).limit(max_rows).unionByName(known.where("y <= 0").orderBy(order).limit(max_rows))
     chosen = docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text")).join(F.broadcast(sample), id_column)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {0: [np.empty(0, C.U)], 1: [np.empty(0, C.U)]}
+        for batch in batches:
+            y = batch.column(1).to_numpy()
+            for row, _, data, offsets in C.text_chunks(batch, 0):
+                h, doc = features(data, offsets)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                once = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]
+                h, toxic = h[once], y[row + doc[once]] > 0
+                held[0].append(h[~toxic])
+                held[1].append(h[toxic])
+        clean, toxic = (C.tally(np.concatenate(held[k])) for k in (0, 1))
+        for k, (keys, n) in ((0, clean), (1, toxic)):
+            zero = np.zeros(len(keys), np.int64)
+            cells = (keys.view(np.int64), n if k else zero, zero if k else n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["feature", "toxic", "clean"])
+
+    C.small_batches(docs.sparkSession)
+    n_toxic, n_clean = sample.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
+    nothing = Model(np.empty(0, C.U), np.empty(0), np.array([30.0]), 0.5)
+    if not n_toxic or not n_clean:
+        return nothing
+    sums = chosen.select("text", "y").mapInArrow(count, "feature long, toxic long, clean long")
+    sums = sums.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    ratio = (F.col("toxic") + 0.5) / n_toxic / ((F.col("clean") + 0.5) / n_clean)
+    good = sums.where((F.col("toxic") >= least) & (ratio >= lift)).orderBy(F.desc("toxic"), "feature").limit(max_features)
+    kept = np.sort(np.array([r["feature"] for r in good.select("feature").collect()], np.int64).view(C.U))
+    if not len(kept):
+        return nothing
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, _, data, offsets in C.text_chunks(batch, 0):
                 h, doc = features(data, offsets)
+                at = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
+                hit = kept[at] == h
+                at, doc = at[hit], doc[hit]
                 order = np.argsort(doc, kind="stable")
                 edges = np.searchsorted(doc[order], np.arange(len(offsets)))
-                out += [C.tally(h[order[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(1),
-                    pa.array([k.tobytes() for k, _ in out], pa.binary()),
-                    pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for _, c in out], pa.binary()),
-                ],
-                names=["y", "features", "counts"],
-            )
-
-    rows = chosen.select("text", "y").mapInArrow(extract, "y int, features binary, counts binary").collect()  # 2 * max_rows at most
+                out += [at[order[a:b]].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["y", "hits"])
+
+    rows = chosen.select("text", "y").mapInArrow(extract, "y int, hits binary").collect()  # 2 * max_rows at most
     y = np.array([r["y"] for r in rows], np.int64)
-    held = [(np.frombuffer(r["features"], C.U), np.frombuffer(r["counts"], np.uint8)) for r in rows]
-    nothing = Model(np.empty(0, C.U), np.empty(0), np.array([30.0]), 0.5)
-    n_toxic, n_clean = int((y > 0).sum()), int((y <= 0).sum())
-    if not n_toxic or not n_clean:
-        return nothing
-    keys, toxic = C.tally(np.concatenate([k for (k, _), g in zip(held, y, strict=True) if g > 0]))
-    ckeys, clean = C.tally(np.concatenate([k for (k, _), g in zip(held, y, strict=True) if g <= 0]))
-    at = np.minimum(np.searchsorted(ckeys, keys), max(len(ckeys) - 1, 0))
-    clean = np.where(ckeys[at] == keys, clean[at], 0) if len(ckeys) else np.zeros(len(keys))
-    ratio = (toxic + 0.5) / n_toxic / ((clean + 0.5) / n_clean)
-    good = np.flatnonzero((toxic >= least) & (ratio >= lift))
-    good = np.sort(good[np.argsort(-toxic[good], kind="stable")[:max_features]])
-    kept = keys[good]
-    if not len(kept):
-        return nothing
     x = np.zeros((len(y), len(kept)), np.float32)
-    for i, (k, c) in enumerate(held):
-        p = np.minimum(np.searchsorted(kept, k), len(kept) - 1)
-        hit = kept[p] == k
-        x[i, p[hit]] = c[hit]
+    for i, r in enumerate(rows):
+        x[i] = np.minimum(np.bincount(np.frombuffer(r["hits"], "<u4"), minlength=len(kept)), 255)
+    if not (y > 0).any() or not (y <= 0).any():
+        return nothing
     if not grade_column:
         amount = x[y > 0].sum(axis=1)
         y[y > 0] = 1 + np.searchsorted(np.quantile(amount, [1 / 3, 2 / 3]), amount, side="left")
