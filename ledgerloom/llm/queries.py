@@ -80,4 +80,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.SQL,
+    "op3_kdtree": kdtree.SQL,
+    "op8_recompression": recompress.SQL,
+    "op9_signhash": signhash.SQL,
 }

@@ -216,3 +216,16 @@ def near_duplicates(
         "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+#: The same rows in SQL for the defaults.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS node FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.node = links.a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, r.low AS component_id, e.vec_id = r.low AS kept
+FROM embeddings e JOIN (SELECT id, min(node) AS low FROM reach GROUP BY id) r ON r.id = e.vec_id
+"""
