@@ -209,7 +209,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
     )
-    while True:
+    tell = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    state = edges.select(tell).first()[0]
+    while state["n"]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # large star: every larger neighbour of a now points to the smallest of a and its neighbours
@@ -230,10 +232,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .distinct()
         )
         after = table(after, name)
-        tell = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        if after.select(tell).first() == edges.select(tell).first():
-            return after.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        edges = after
+        before, state, edges = state, after.select(tell).first()[0], after
+        if state == before:
+            break
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def local_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
