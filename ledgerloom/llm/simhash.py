@@ -301,7 +301,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, id_column: st
 
     Of rows with equal ids one stays; rows with a null id all stay.
     """
-    found = C.table(near_duplicates(docs, shingle, distance, id_column), "near-duplicates")
+    return keep_smallest(docs, near_duplicates(docs, shingle, distance, id_column), id_column)
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Documents whose id is the smallest of its component, from rows (id, component_id)."""
+    found = C.table(found, "near-duplicates")
     keep = found.where(F.col(id_column) == F.col("component_id")).select(id_column)
     kept = docs.join(keep.distinct(), id_column, "left_semi")
     if keep.groupBy(id_column).count().where("count > 1").limit(1).count():
