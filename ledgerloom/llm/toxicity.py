@@ -7,8 +7,10 @@ bounded, labelled sample are kept; their weights are shared by all thresholds of
 
 Grades: a column of the labels, if one is named; else 0 for documents labelled clean, and 1 to 3 for those labelled
 toxic, by thirds of how many kept features they hold. The expected severity is the sum of the chances of exceeding
-each threshold; a document is toxic if its chance of grade 1 or more is at least ``cut``, by default the least chance
-for which the wanted share of the sample's rejected documents is labelled toxic.
+each threshold; a document is toxic if its chance of grade 1 or more is at least ``cut``: by default the cut of the
+sample's best F-score, which single wrong labels hardly move, 0.5 at most. A wanted ``precision`` takes the least chance
+instead for which that share of the sample's rejected documents is labelled toxic. A document without a kept feature
+isn't rejected by the default cut.
 
 Fitting uses at most ``max_rows`` documents of either label (those with the smallest hash of their id), so what the
 driver holds is bounded whatever the input. Scoring is one narrow pass over whole texts.
@@ -68,7 +70,7 @@ def fit(
     least: int = 3,
     lift: float = 20.0,
     cut: float | None = None,
-    precision: float = 1.0,
+    precision: float | None = None,
     grade_column: str | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -141,17 +143,30 @@ def fit(
     weights, thresholds = ordinal(np.log2(1 + x), y)
     model = Model(kept, weights, thresholds, 0.5 if cut is None else cut)
     if cut is None:
-        chance = model.above(x)[:, 0]
-        order = np.argsort(-chance, kind="stable")
-        right = np.cumsum(y[order] > 0) / np.arange(1, len(y) + 1)
-        last = np.append(chance[order][1:] < chance[order][:-1], True)  # equal chances are rejected together
-        good = np.flatnonzero(last & (right >= precision))
-        if len(good):
-            below = chance[order][good[-1] + 1] if good[-1] + 1 < len(y) else 0.0
-            model.cut = float((chance[order][good[-1]] + below) / 2)
+        model.cut = cut_of(model.above(x)[:, 0], y > 0, float(model.above_of(np.zeros(1))[0, 0]), precision)
     return model
 
 
+def cut_of(chance: np.ndarray, toxic: np.ndarray, plain: float, precision: float | None = None) -> float:
+    """The chance from which documents are rejected; ``plain`` is the chance of one without features."""
+    order = np.argsort(-chance, kind="stable")
+    falling, hits, rejected = chance[order], np.cumsum(toxic[order]), np.arange(1, len(chance) + 1)
+    last = np.append(falling[1:] < falling[:-1], True)  # equal chances are rejected together
+    if precision is None:
+        able = np.flatnonzero(last & (falling > plain))
+        score = hits[able] * 2 / (rejected[able] + toxic.sum())
+        good = able[np.flatnonzero(score == score.max(initial=0))[-1:]]
+    else:
+        good = np.flatnonzero(last & (hits / rejected >= precision))
+    if not len(good):
+        return 0.5 if precision is not None or plain < 0.5 else 1.0
+    below = falling[good[-1] + 1] if good[-1] + 1 < len(chance) else 0.0
+    cut = float((falling[good[-1]] + below) / 2)
+    if precision is not None:
+        return cut
+    return min(cut, 0.5) if plain < 0.5 else max(cut, float(np.nextafter(plain, 2)))
+
+
 def ordinal(x: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds of the cumulative-link model, by Adam on the mean negative log likelihood."""
     top = int(y.max())

@@ -224,6 +224,27 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(docs, none).count() == 302 and toxicity.score(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("flipped", [0, 1, 3, 10])
+def test_toxicity_cut_withstands_wrong_labels(spark, flipped):
+    r = random.Random(4)
+    plain = [" ".join(r.choices([f"w{i}" for i in range(50)], k=40)) for _ in range(600)]
+    values = [t + " " + " ".join(r.choices(["Jerk!", "jerkface", "scum", "moron"], k=r.randint(1, 4))) if i % 5 == 0 else t for i, t in enumerate(plain)]
+    toxic = {i for i in range(600) if i % 5 == 0}
+    wrong = set(sorted(toxic)[::12][:flipped])
+    labels = spark.createDataFrame([(i, int(i in toxic - wrong)) for i in range(600)], "doc_id long, toxic int")
+    docs = documents(spark, values)
+    model = toxicity.fit(docs, labels)
+    rejected = {x["doc_id"] for x in toxicity.score(docs, model).where("toxic").collect()}
+    assert len(rejected & toxic) >= 0.95 * len(toxic) and not rejected - toxic and model.cut <= 0.5
+
+
+def test_toxicity_cut_of_the_best_score():
+    chance, toxic = np.array([0.99, 0.9, 0.8, 0.7, 0.2, 0.1, 0.1]), np.array([0, 1, 1, 1, 1, 0, 1], bool)
+    assert toxicity.cut_of(chance, toxic, 0.1) == pytest.approx(0.15)
+    assert toxicity.cut_of(chance, toxic, 0.1, 1.0) == 0.5
+    assert toxicity.cut_of(np.full(9, 0.9), np.ones(9, bool), 0.9) > 0.9  # nothing without features is rejected
+
+
 def test_ordinal_gradient_fits():
     r = np.random.default_rng(0)
     x = r.standard_normal((2000, 3)).astype(np.float32)
