@@ -5,15 +5,17 @@ off), so compounds share the feature of their stem. Features that are far more f
 bounded, labelled sample are kept; their weights are shared by all thresholds of the model
 ``P(grade <= k) = sigmoid(threshold_k - w . x)`` with x = log2(1 + count), fitted by full-batch Adam.
 
-Grades: a column of the labels, if one is named; else 0 for documents labelled clean, and 1 to 3 for those labelled
-toxic, by thirds of how many kept features they hold. The expected severity is the sum of the chances of exceeding
-each threshold; a document is toxic if its chance of grade 1 or more is at least ``cut``: by default the cut of the
-sample's best F-score, which single wrong labels hardly move, 0.5 at most. A wanted ``precision`` takes the least chance
-instead for which that share of the sample's rejected documents is labelled toxic. A document without a kept feature
-isn't rejected by the default cut.
-
-Fitting uses at most ``max_rows`` documents of either label (those with the smallest hash of their id), so what the
-driver holds is bounded whatever the input. Scoring is one narrow pass over whole texts.
+Grades are a column of the labels, if one is named. Where labels only say toxic or not, they are 0 for clean documents,
+and 1 to 3 for toxic ones by thirds of how many occurrences they hold of features that the other half of the sample has
+shown to be toxic; a document's own label and features have no say in the scale it is graded on. The expected severity
+is the sum of the chances of exceeding each threshold; a document is toxic if its chance of grade 1 or more is at least ``cut``: by default the cut
+of the best F-score of the sample, each half judged by features and weights learnt from the other half, which single
+wrong labels hardly move, 0.5 at most. A wanted ``precision`` takes the least chance instead for which that share of the
+rejected documents is labelled toxic. A document without a kept feature isn't rejected by the default cut.
+
+Fitting uses at most ``max_rows`` documents of either label (those with the smallest hash of their id; of documents with
+equal ids the smallest text), so what the driver holds is bounded whatever the input. Scoring is one narrow pass over
+whole texts, in which every occurrence of a feature counts.
 """
 
 from __future__ import annotations
@@ -42,11 +44,8 @@ class Model:
     thresholds: np.ndarray
     cut: float = 0.5
 
-    def above(self, counts: np.ndarray) -> np.ndarray:
-        """The chances of exceeding each threshold, from rows of feature counts."""
-        return self.above_of(np.log2(1 + counts) @ self.weights)
-
     def above_of(self, z: np.ndarray) -> np.ndarray:
+        """The chances of exceeding each threshold, from products of weights and features."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -60, 60)))
 
 
@@ -62,11 +61,39 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(parts), np.concatenate(docs)
 
 
+class Sparse:
+    """Rows of few values, as the regression needs them: products with a vector from either side."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.columns, self.values, self.shape = rows, columns, values, shape
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Sparse:
+        rows, columns = np.nonzero(x)
+        return cls(rows, columns, x[rows, columns].astype(np.float64), x.shape)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[self.columns], minlength=self.shape[0])
+
+    def sums(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * d[self.rows], minlength=self.shape[1])
+
+
+def hits_of(kept: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all texts of a chunk: document, number of a kept feature and log2(1 + count), one row for each that occurs."""
+    if not len(kept):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    h, doc = features(data, offsets)
+    at = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
+    hit = kept[at] == h
+    pair, count = np.unique(doc[hit] * len(kept) + at[hit], return_counts=True)
+    return pair // len(kept), pair % len(kept), np.log2(1 + count)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 8000,
-    max_features: int = 1000,
     least: int = 3,
     lift: float = 20.0,
     cut: float | None = None,
@@ -76,74 +103,103 @@ def fit(
     text_column: str = "text",
     label_column: str = "toxic",
 ) -> Model:
-    """Fit on a bounded sample. Labels that are null, or whose document is missing, are not used; without toxic or
-    without clean examples the model finds nothing toxic."""
-    known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column)
-    known = known.agg(F.max(F.col(grade_column or label_column).cast("int")).alias("y"))
-    order = F.xxhash64(id_column)
+    """Fit on a bounded sample. Labels that are null, or whose document is missing, are not used, null and empty texts
+    have no features, of repeated labels the highest counts; without toxic or without clean examples, or on empty tables,
+    the model finds nothing toxic."""
+    toxic = F.col(label_column).cast("int")
+    grade = F.col(grade_column).cast("int") if grade_column else F.when(toxic > 0, 1).otherwise(0)
+    known = labels.where(toxic.isNotNull() & grade.isNotNull() & F.col(id_column).isNotNull())
+    known = known.groupBy(F.col(id_column).alias("id")).agg(F.max(grade).alias("y"))
+    order, half = F.xxhash64("id"), F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int")
     sample = known.where("y > 0").orderBy(order).limit(max_rows).unionByName(known.where("y <= 0").orderBy(order).limit(max_rows))
-    chosen = docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text")).join(F.broadcast(sample), id_column)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    chosen = rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    C.small_batches(docs.sparkSession)
+    chosen = C.table(chosen.select("text", "y", half.alias("half")), "labelled-sample")
+    cells = [(h, t) for h in (0, 1) for t in (False, True)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {0: [np.empty(0, C.U)], 1: [np.empty(0, C.U)]}
+        held = [[np.empty(0, C.U)] for _ in cells]
         for batch in batches:
-            y = batch.column(1).to_numpy()
+            cell = batch.column(2).to_numpy() * 2 + (batch.column(1).to_numpy() > 0)
             for row, _, data, offsets in C.text_chunks(batch, 0):
                 h, doc = features(data, offsets)
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
                 once = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]
-                h, toxic = h[once], y[row + doc[once]] > 0
-                held[0].append(h[~toxic])
-                held[1].append(h[toxic])
-        clean, toxic = (C.tally(np.concatenate(held[k])) for k in (0, 1))
-        for k, (keys, n) in ((0, clean), (1, toxic)):
-            zero = np.zeros(len(keys), np.int64)
-            cells = (keys.view(np.int64), n if k else zero, zero if k else n)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["feature", "toxic", "clean"])
+                h, mine = h[once], cell[row + doc[once]]
+                for k in range(4):
+                    held[k].append(h[mine == k])
+        for k in range(4):
+            keys, n = C.tally(np.concatenate(held[k]))
+            columns = [keys.view(np.int64), *(n if i == k else np.zeros(len(n), np.int64) for i in range(4))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["feature", "n0", "n1", "n2", "n3"])
 
-    C.small_batches(docs.sparkSession)
-    n_toxic, n_clean = sample.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
+    totals = {(r["half"], r["t"]): r["n"] for r in chosen.groupBy("half", (F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    totals = [totals.get(c, 0) for c in cells]
     nothing = Model(np.empty(0, C.U), np.empty(0), np.array([30.0]), 0.5)
-    if not n_toxic or not n_clean:
+    if not totals[0] + totals[2] or not totals[1] + totals[3]:
         return nothing
-    sums = chosen.select("text", "y").mapInArrow(count, "feature long, toxic long, clean long")
-    sums = sums.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = (F.col("toxic") + 0.5) / n_toxic / ((F.col("clean") + 0.5) / n_clean)
-    good = sums.where((F.col("toxic") >= least) & (ratio >= lift)).orderBy(F.desc("toxic"), "feature").limit(max_features)
-    kept = np.sort(np.array([r["feature"] for r in good.select("feature").collect()], np.int64).view(C.U))
-    if not len(kept):
+
+    def good(toxic, clean, n_toxic: int, n_clean: int):
+        return (toxic >= least) & ((toxic + 0.5) / max(n_toxic, 1) / ((clean + 0.5) / max(n_clean, 1)) >= lift)
+
+    n = [F.col(f"n{i}") for i in range(4)]
+    sums = chosen.mapInArrow(count, "feature long, n0 long, n1 long, n2 long, n3 long").groupBy("feature").agg(*(F.sum(x).alias(f"n{i}") for i, x in enumerate(n)))
+    chosen_by = [  # of all, of the first half, of the second half
+        good(n[1] + n[3], n[0] + n[2], totals[1] + totals[3], totals[0] + totals[2]), good(n[1], n[0], *totals[1::-1]), good(n[3], n[2], *totals[:1:-1]),
+    ]
+    found = sums.select("feature", *(g.alias(f"g{i}") for i, g in enumerate(chosen_by))).where("g0 or g1 or g2").collect()  # of the sample
+    keys = np.array([r["feature"] for r in found], np.int64).view(C.U)
+    order = np.argsort(keys)
+    union, by = keys[order], [np.array([r[f"g{i}"] for r in found], bool)[order] for i in range(3)]
+    if not by[0].any():
         return nothing
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, _, data, offsets in C.text_chunks(batch, 0):
-                h, doc = features(data, offsets)
-                at = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
-                hit = kept[at] == h
-                at, doc = at[hit], doc[hit]
-                order = np.argsort(doc, kind="stable")
-                edges = np.searchsorted(doc[order], np.arange(len(offsets)))
-                out += [at[order[a:b]].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["y", "hits"])
-
-    rows = chosen.select("text", "y").mapInArrow(extract, "y int, hits binary").collect()  # 2 * max_rows at most
-    y = np.array([r["y"] for r in rows], np.int64)
-    x = np.zeros((len(y), len(kept)), np.float32)
-    for i, r in enumerate(rows):
-        x[i] = np.minimum(np.bincount(np.frombuffer(r["hits"], "<u4"), minlength=len(kept)), 255)
-    if not (y > 0).any() or not (y <= 0).any():
-        return nothing
+                doc, feature, value = hits_of(union, data, offsets)
+                edges = np.searchsorted(doc, np.arange(len(offsets)))
+                out += [(feature[a:b].astype("<u4").tobytes(), value[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            hits = [pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *hits], names=["y", "half", "f", "v"])
+
+    rows = chosen.mapInArrow(extract, "y int, half int, f binary, v binary").collect()  # 2 * max_rows at most
+    halves = [np.flatnonzero([r["half"] == h for r in rows]) for h in (0, 1)]
+    toxic = np.array([r["y"] > 0 for r in rows])
+
+    def matrix(of: np.ndarray, kept: np.ndarray) -> Sparse:
+        """The chosen rows and the kept features only."""
+        f, v = ([np.frombuffer(rows[i][c], t) for i in of] for c, t in (("f", "<u4"), ("v", "<f8")))
+        place, number = np.repeat(np.arange(len(of)), [len(x) for x in f]), np.cumsum(kept) - 1
+        column = np.concatenate([np.empty(0, "<u4"), *f]).astype(np.int64)
+        some = kept[column]
+        return Sparse(place[some], number[column[some]], np.concatenate([np.empty(0), *v])[some], (len(of), int(kept.sum())))
+
+    y = np.array([r["y"] for r in rows])
     if not grade_column:
-        amount = x[y > 0].sum(axis=1)
-        y[y > 0] = 1 + np.searchsorted(np.quantile(amount, [1 / 3, 2 / 3]), amount, side="left")
-    else:
-        y = np.searchsorted(np.unique(y), y)
-    weights, thresholds = ordinal(np.log2(1 + x), y)
-    model = Model(kept, weights, thresholds, 0.5 if cut is None else cut)
+        amount = np.zeros(len(rows))
+        for mine, kept in ((halves[0], by[2]), (halves[1], by[1])):
+            x = matrix(mine, kept)
+            amount[mine] = Sparse(x.rows, x.columns, np.exp2(x.values) - 1, x.shape).times(np.ones(x.shape[1]))
+        y[toxic] = 1 + np.searchsorted(np.quantile(amount[toxic], [1 / 3, 2 / 3]), amount[toxic], side="left")
+
+    def fitted(of: np.ndarray, kept: np.ndarray) -> Model:
+        weights, thresholds = ordinal(matrix(of, kept), np.unique(y[of], return_inverse=True)[1])
+        return Model(union[kept], weights, thresholds, 0.5 if cut is None else cut)
+
+    model = fitted(np.arange(len(rows)), by[0])
     if cut is None:
-        model.cut = cut_of(model.above(x)[:, 0], y > 0, float(model.above_of(np.zeros(1))[0, 0]), precision)
+        chance = np.zeros(len(rows))
+        if min(totals) and by[1].any() and by[2].any():  # each half is judged by what the other one taught
+            for mine, other, kept in ((halves[0], halves[1], by[2]), (halves[1], halves[0], by[1])):
+                taught = fitted(other, kept)
+                chance[mine] = taught.above_of(matrix(mine, kept).times(taught.weights))[:, 0]
+        else:
+            chance = model.above_of(matrix(np.arange(len(rows)), by[0]).times(model.weights))[:, 0]
+        model.cut = cut_of(chance, toxic, float(model.above_of(np.zeros(1))[0, 0]), precision)
     return model
 
 
@@ -167,8 +223,9 @@ def cut_of(chance: np.ndarray, toxic: np.ndarray, plain: float, precision: float
     return min(cut, 0.5) if plain < 0.5 else max(cut, float(np.nextafter(plain, 2)))
 
 
-def ordinal(x: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def ordinal(x: Sparse | np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds of the cumulative-link model, by Adam on the mean negative log likelihood."""
+    x = x if isinstance(x, Sparse) else Sparse.of(x)
     top = int(y.max())
     share = np.array([(y <= k).mean() for k in range(top)])
     theta = np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
@@ -178,7 +235,7 @@ def ordinal(x: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.1, r
     for step in range(1, steps + 1):
         gaps = np.exp(p[d + 1 :])
         theta = p[d] + np.concatenate([[0], np.cumsum(gaps)])
-        below = 1 / (1 + np.exp(np.clip((x @ p[:d].astype(np.float32))[:, None] - theta[None, :], -60, 60)))
+        below = 1 / (1 + np.exp(np.clip(x.times(p[:d])[:, None] - theta[None, :], -60, 60)))
         edge = np.concatenate([np.zeros((len(y), 1)), below, np.ones((len(y), 1))], axis=1)
         slope = edge * (1 - edge)
         chance = np.maximum(edge[rows, y + 1] - edge[rows, y], 1e-12)
@@ -187,47 +244,47 @@ def ordinal(x: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.1, r
         dtheta = np.bincount(y, -up, minlength=top + 1)[:top] + np.bincount(y, down, minlength=top + 1)[1:]
         dtheta = dtheta / len(y)
         tail = np.cumsum(dtheta[::-1])[::-1]
-        g = np.concatenate([x.T @ dz.astype(np.float32) + ridge * p[:d], tail[:1], tail[1:] * gaps])
+        g = np.concatenate([x.sums(dz) + ridge * p[:d], tail[:1], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return p[:d], p[d] + np.concatenate([[0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Rows (id, expected_severity, grade, p_toxic, toxic); the columns in ``keep`` instead of the id, if given.
-
-    Null and empty texts hold no features. Rows with equal ids are scored one by one.
-    """
-    keep = keep or [id_column]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows without their last column, the text, and then (expected_severity, grade, p_toxic, toxic); columns are
+    named by number, so that no name clashes."""
+    kinds = [f.dataType.simpleString() for f in rows.schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in C.text_chunks(batch, batch.num_columns - 1):
-                z = np.zeros(end - row)
-                if len(model.features):
-                    h, doc = features(data, offsets)
-                    at = np.minimum(np.searchsorted(model.features, h), len(model.features) - 1)
-                    hit = model.features[at] == h
-                    pair, count = np.unique(doc[hit] * len(model.features) + at[hit], return_counts=True)
-                    z += np.bincount(
-                        pair // len(model.features), np.log2(1 + np.minimum(count, 255)) * model.weights[pair % len(model.features)], minlength=end - row
-                    )
-                above = model.above_of(z)
+                doc, feature, value = hits_of(model.features, data, offsets)
+                above = model.above_of(np.bincount(doc, value * model.weights[feature], minlength=end - row))
                 chance = np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i).slice(row, end - row) for i in range(batch.num_columns - 1)),
-                        pa.array(above.sum(axis=1)), pa.array(chance.argmax(axis=1), pa.int32()), pa.array(above[:, 0]), pa.array(above[:, 0] >= model.cut),
-                    ],
-                    names=[*batch.schema.names[:-1], "expected_severity", "grade", "p_toxic", "toxic"],
-                )
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).cast("string").alias("\0text"))
-    C.small_batches(docs.sparkSession)
-    return rows.mapInArrow(run, f"{fields}, expected_severity double, grade int, p_toxic double, toxic boolean")
+                columns = [
+                    *(batch.column(i).slice(row, end - row) for i in range(len(kinds))),
+                    pa.array(above.sum(axis=1)), pa.array(chance.argmax(axis=1), pa.int32()), pa.array(above[:, 0]), pa.array(above[:, 0] >= model.cut),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+    C.small_batches(rows.sparkSession)
+    fields = ", ".join(f"c{i} {k}" for i, k in enumerate([*kinds, "double", "int", "double", "boolean"]))
+    return rows.toDF(*[f"c{i}" for i in range(len(kinds) + 1)]).mapInArrow(run, fields)
+
+
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (id, expected_severity, grade, p_toxic, toxic).
+
+    Null and empty texts hold no features, long texts are read whole. Rows with equal or null ids are scored one by one.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    rows = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    return _scored(rows, model).toDF(id_column, "expected_severity", "grade", "p_toxic", "toxic")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """Documents that the model doesn't reject, with all their columns."""
-    return score(docs, model, text_column=text_column, keep=docs.columns).where(~F.col("toxic")).select(docs.columns)
+    """Documents that the model doesn't reject, with all their columns, whatever they are called."""
+    n = len(docs.columns)
+    rows = docs.toDF(*[f"c{i}" for i in range(n)])
+    rows = rows.select("*", F.col(f"c{docs.columns.index(text_column)}").cast("string").alias("text"))
+    return _scored(rows, model).where(~F.col(f"c{n + 3}")).select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)
