@@ -34,9 +34,7 @@ def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,10 +49,10 @@ def encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*ids, np.empty(0, np.uint32)]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def vocabulary(docs: DataFrame, path: str, text_column: str = "text") -> tuple[str, int]:
-    """Tokenize every distinct word of a corpus into sorted arrays; gives their folder and number of shards."""
-    spark = docs.sparkSession
-    n, folder = C.shards(spark), C.shared_folder(spark, "words")
+def vocabulary(docs: DataFrame, path: str, text_column: str = "text") -> tuple[str, int, frozenset[int]]:
+    """Tokenize every distinct word of a corpus into sorted arrays; gives their folder, the number of shards, and which
+    shards hold words."""
+    n, folder = C.shards(docs), C.shared_folder(docs.sparkSession, "words")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, C.U)
@@ -103,27 +101,27 @@ def vocabulary(docs: DataFrame, path: str, text_column: str = "text") -> tuple[s
         return pd.DataFrame({"shard": [shard], "n": [len(kept)]})
 
     rows = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(name, "shard int, hashes binary, words binary")
-    rows.groupBy("shard").applyInPandas(store, "shard int, n long").agg(F.sum("n")).collect()
-    return folder, n
+    stored = rows.groupBy("shard").applyInPandas(store, "shard int, n long").select("shard").collect()  # one row per shard
+    return folder, n, frozenset(r["shard"] for r in stored)
 
 
 class Words:
     """Maps the arrays of ``vocabulary`` and encodes chunks of text; made once per task."""
 
-    def __init__(self, folder: str, n: int, path: str):
-        self.folder, self.n, self.path = folder, n, path
+    def __init__(self, folder: str, n: int, stored: frozenset[int], path: str):
+        self.folder, self.n, self.stored, self.path = folder, n, stored, path
         self.arrays: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.tokenizer = None
 
     def _shard(self, k: int):
         if k not in self.arrays:
-            try:
+            if k in self.stored:  # a missing file of these is an error
                 self.arrays[k] = (
                     C.get_array(f"{self.folder}/{k}.hash", C.U),
                     C.get_array(f"{self.folder}/{k}.start", np.uint32),
                     C.get_array(f"{self.folder}/{k}.ids", np.uint32),
                 )
-            except FileNotFoundError:  # a range of hashes without words
+            else:  # a range of hashes without words
                 self.arrays[k] = (np.empty(0, C.U), np.zeros(1, np.uint32), np.empty(0, np.uint32))
         return self.arrays[k]
 
