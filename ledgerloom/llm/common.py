@@ -6,8 +6,10 @@ no Python object is made per word. Large intermediate arrays travel as binary bl
 
 from __future__ import annotations
 
+import atexit
 import mmap
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -31,18 +33,39 @@ LOWER[0x41:0x5B] += 0x20
 
 # ---------------------------------------------------------------------------------------------- shared folder
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a folder for checkpoints is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a session in local mode,
+    as in tests, gets a folder of its machine; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        _FOLDERS.append(root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_FOLDERS: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; nothing else uses it."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name under the shared folder; nothing else uses it. ``release`` deletes it."""
+    _FOLDERS.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def release() -> None:
+    """Delete all folders that this process has made; frames that read them are of no use afterwards. Runs at exit."""
+    while _FOLDERS:
+        try:
+            fs, path, _ = _fs(_FOLDERS.pop())
+            fs.delete_dir(path)
+        except (OSError, pa.ArrowException):
+            pass  # never written, or on a store that only Spark can open
+
+
+atexit.register(release)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -52,9 +75,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shards(spark: SparkSession) -> int:
-    """How many shards arrays are dealt to: the session's number of shuffle partitions, which follows the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of stored input for which one more shard is made.
+SHARD_BYTES = 1 << 30
+
+
+def shards(df: DataFrame) -> int:
+    """How many shards arrays are dealt to: one for each GB that the frame's sources hold, and never fewer than the
+    session's shuffle partitions."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(least, -(-sum(n for n in sizes if n < 1 << 55) // SHARD_BYTES))  # larger: a source that knows no size
 
 
 # ---------------------------------------------------------------------------------------------- array files

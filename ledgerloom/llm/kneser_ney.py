@@ -88,6 +88,7 @@ class Model:
     folder: str
     n: int
     sizes: np.ndarray  # words of each shard
+    stored: frozenset[str] = frozenset()  # arrays that were written, as kind and shard; a missing file of one is an error
     tokens: int = 0
     hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     bigram_discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))
@@ -98,6 +99,8 @@ class Model:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         self.words = int(self.starts[-1])
         self.begin, self.unknown = self.words, self.words + 1
+        if self.unknown >= 1 << 32:
+            raise OverflowError("bigram keys hold word numbers of 32 bits; this corpus has more distinct words")
         self.cache: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
@@ -105,10 +108,8 @@ class Model:
 
     def array(self, name: str, dtype) -> np.ndarray:
         if name not in self.cache:
-            try:
-                self.cache[name] = C.get_array(f"{self.folder}/{name}", dtype)
-            except FileNotFoundError:
-                self.cache[name] = np.empty(0, dtype)
+            there = name.split(".")[0] in self.stored
+            self.cache[name] = C.get_array(f"{self.folder}/{name}", dtype) if there else np.empty(0, dtype)
         return self.cache[name]
 
     def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,10 +217,14 @@ def _blobs(shard: np.ndarray, n: int, columns: list) -> pa.RecordBatch:
 
 
 def train(docs: DataFrame, text_column: str = "text") -> Model:
-    """Count a corpus and write the model's arrays to the shared folder."""
+    """Count a corpus and write the model's arrays to the shared folder.
+
+    Null and empty texts count an end token. Repeated rows count each time. An empty corpus gives a model without words
+    in which every word is unknown and all tokens are equally likely. Raises OverflowError beyond 2^32 distinct words.
+    """
     spark = docs.sparkSession
     C.small_batches(spark)
-    n, folder = C.shards(spark), C.shared_folder(spark, "kneser-ney")
+    n, folder = C.shards(docs), C.shared_folder(spark, "kneser-ney")
     docs = docs.select(F.col(text_column).cast("string").alias("text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +261,8 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     sizes = np.zeros(n, np.int64)
     for r in shards:
         sizes[r["shard"]] = r["size"]
-    model = Model(folder, n, sizes, tokens=sum(r["total"] for r in shards))
+    stored = frozenset(f"word{r['shard']}" for r in shards)
+    model = Model(folder, n, sizes, stored, tokens=sum(r["total"] for r in shards))
     limit = model.tokens / (4 * n)
     hot = [int(model.starts[r["shard"]]) + p for r in shards for p, c in zip(r["place"], r["count"], strict=True) if c > limit]
     model.hot = np.array([*hot, model.begin], np.int64)
@@ -302,7 +308,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
             [np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1
         )
         w, types = np.unique((keys & C.U(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        rows = [("seen", 0, b"", np.array([(counts == i).sum() for i in range(1, 5)], np.int64).tobytes())]
+        rows = [("seen", k, b"", np.array([(counts == i).sum() for i in range(1, 5)], np.int64).tobytes())]
         for kind, ids, values in (("context", v[first], stats), ("continuation", w, types.astype(np.int64)[:, None])):
             edges = np.searchsorted(model.range_of(ids), np.arange(n + 1))
             for r in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
@@ -321,7 +327,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
         for kind, values in tables.items():
             C.put_array(f"{folder}/{kind}{r}", values.reshape(-1))
         c = tables["continuation"][:, 0]
-        out = {f"n{i}": [int((c == i).sum())] for i in range(1, 5)}
+        out = {"shard": [r]} | {f"n{i}": [int((c == i).sum())] for i in range(1, 5)}
         return pd.DataFrame(out | {"types": [int((c > 0).sum())], "total": [int(c.sum())]})
 
     sums = C.table(
@@ -330,15 +336,18 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
         .applyInPandas(store_bigrams, "kind string, shard int, a binary, b binary"),
         "kneser-ney-sums",
     )
-    seen = [np.frombuffer(r["b"], np.int64) for r in sums.where("kind = 'seen'").select("b").collect()]  # one row per shard
+    bigrams = sums.where("kind = 'seen'").select("shard", "b").collect()  # one row per shard
+    seen = [np.frombuffer(r["b"], np.int64) for r in bigrams]
     dense = (
         sums.where("kind <> 'seen'")
         .groupBy("shard")
-        .applyInPandas(store_dense, "n1 long, n2 long, n3 long, n4 long, types long, total long")
+        .applyInPandas(store_dense, "shard int, n1 long, n2 long, n3 long, n4 long, types long, total long")
         .collect()
     )  # one row per range
     model.bigram_discounts = discounts(np.sum(seen, axis=0) if seen else np.zeros(4))
-    n1, n2, n3, n4, types, total = (sum(r[i] for r in dense) for i in range(6))
+    n1, n2, n3, n4, types, total = (sum(r[i] for r in dense) for i in range(1, 7))
+    model.stored |= {f"bigram{r['shard']}" for r in bigrams}
+    model.stored |= {f"{kind}{r['shard']}" for r in dense for kind in ("context", "continuation")}
     model.word_discounts = discounts(np.array([n1, n2, n3, n4]))
     model.continuations = np.array([n1, n2, types - n1 - n2, total, types], np.float64)
     return model

@@ -131,17 +131,16 @@ def document_names(h: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarra
 
 
 class Arrays:
-    """The sorted arrays of the shared folder, mapped when first used."""
+    """The sorted arrays of the shared folder, mapped when first used. ``stored`` names the shards that were written; a
+    missing file of one of them is an error."""
 
-    def __init__(self, folder: str, n: int):
-        self.folder, self.n, self.held = folder, n, {}
+    def __init__(self, folder: str, n: int, stored: frozenset[str]):
+        self.folder, self.n, self.stored, self.held = folder, n, stored, {}
 
     def get(self, name: str, dtype) -> np.ndarray:
         if name not in self.held:
-            try:
-                self.held[name] = C.get_array(f"{self.folder}/{name}", dtype)
-            except FileNotFoundError:
-                self.held[name] = np.empty(0, dtype)
+            there = name.split(".")[0] in self.stored
+            self.held[name] = C.get_array(f"{self.folder}/{name}", dtype) if there else np.empty(0, dtype)
         return self.held[name]
 
     def places(self, kind: str, keys: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
@@ -230,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     """
     spark = docs.sparkSession
     C.small_batches(spark)
-    n, folder = C.shards(spark), C.shared_folder(spark, "recompression")
+    n, folder = C.shards(docs), C.shared_folder(spark, "recompression")
     kind = docs.schema[id_column].dataType.simpleString()
     docs = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("place"), F.col(text_column).cast("string").alias("text")
@@ -276,7 +275,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
             C.put_array(f"{folder}/document{k}.{name}", x[first])
         return pd.DataFrame({"shard": [k], "n": [len(keys)]})
 
-    docs.mapInArrow(count, "shard int, kind string, a binary").groupBy("shard").applyInPandas(share, "shard int, n long").agg(F.sum("n")).collect()
+    shared = docs.mapInArrow(count, "shard int, kind string, a binary").groupBy("shard").applyInPandas(share, "shard int, n long")
+    first_pass = frozenset(f"{kind}{r['shard']}" for r in shared.collect() for kind in ("symbol", "document"))  # one row per shard
 
     def look(arrays: Arrays, h: np.ndarray, doc: np.ndarray, place: np.ndarray):
         """Candidate windows (starts in the chunk) of documents that are not whole copies, their names, and the copies."""
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
         return copy, at, name[at], check[at], doc[at], (at - first[doc[at]]).astype(np.uint32)
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = Arrays(folder, n)
+        arrays = Arrays(folder, n, first_pass)
         for batch in batches:
             for _, _, _, _, _, doc, h, place in read(batch):
                 if not len(h):
@@ -325,10 +325,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
             C.put_array(f"{folder}/window{k}.{label}", x[first])
         return pd.DataFrame({"shard": [k], "n": [len(first)]})
 
-    docs.mapInArrow(name_windows, "shard int, docs binary, a binary").groupBy("shard").applyInPandas(earliest, "shard int, n long").agg(F.sum("n")).collect()
+    named = docs.mapInArrow(name_windows, "shard int, docs binary, a binary").groupBy("shard").applyInPandas(earliest, "shard int, n long")
+    both_passes = first_pass | {f"window{r['shard']}" for r in named.collect()}
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = Arrays(folder, n)
+        arrays = Arrays(folder, n, both_passes)
         for batch in batches:
             for row, end, data, s, e, doc, h, place in read(batch):
                 size = np.bincount(doc, minlength=end - row)

@@ -43,8 +43,10 @@ def vectors(rows: DataFrame, vector_column: str, keep: list[str]) -> DataFrame:
                 x = None
                 if v.is_valid and len(v.values) and v.values.null_count == 0:
                     x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    if not np.isfinite(x).all() or not x.any() or not np.isfinite(x @ x) or x @ x == 0:
+                    if not np.isfinite(x).all() or not x.any():
                         x = None
+                    elif not 1e-200 < np.abs(x).max() < 1e150:  # a power of two keeps the angle; squares stay in range
+                        x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
                 out.append(None if x is None else (x + 0.0).astype(width).tobytes())  # -0.0 becomes 0.0
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(out, pa.binary())],
@@ -192,7 +194,7 @@ def near_duplicates(
         if held is not None and held.num_rows:
             yield solve(held)
 
-    met = dealt.repartition(C.shards(spark), "key").sortWithinPartitions("key", "block")
+    met = dealt.repartition(C.shards(rows), "key").sortWithinPartitions("key", "block")
     found = C.table(met.mapInArrow(verify, "a long, b long, n long"), "vector-links")
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = C.components(found.where("a <> b").select("a", "b"), "vector-components")

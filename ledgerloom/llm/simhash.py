@@ -273,7 +273,7 @@ def links(fps: DataFrame, distance: int = 3, block: int = 8192) -> DataFrame:
         if len(keys):
             yield solve(keys, fps)
 
-    met = dealt.repartition(C.shards(fps.sparkSession), "key").sortWithinPartitions("key")
+    met = dealt.repartition(C.shards(fps), "key").sortWithinPartitions("key")
     return met.mapInArrow(verify, "a long, b long")
 
 

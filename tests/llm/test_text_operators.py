@@ -166,16 +166,20 @@ def test_recompression_edges(spark):
     assert out == [(False, 29), (False, 29), (True, 30)]
 
 
-def test_packing_round_trip(spark):
-    values = texts(90)
-    docs = documents(spark, values)
-    tok = tokens.load(tokens.tokenizer_path())
-    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(values)}
-    rows = packing.pack(docs.repartition(4), length=128).collect()
+def plain_ids(values):
+    """Ids by the public tokenizer as its file says, without a word of the operator's code."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("word_bpe_49k.json"))
+    return {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(values)}
+
+
+def check_pieces(rows, ids, length):
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
-        by_seq[r["sequence_id"]].append((r["offset"], r["length"], r["source"]))
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
     assert set(by_doc) == set(ids)
     for i, pieces in by_doc.items():
         at = 0
@@ -184,28 +188,50 @@ def test_packing_round_trip(spark):
             at += n
         assert at == len(ids[i])
     total = sum(map(len, ids.values()))
-    share = collections.Counter()
-    for i, x in ids.items():
-        share[docs.columns and (None if i % 7 == 0 else f"src{i % 3 if i % 5 else 0}")] += len(x) / total
     for k, pieces in by_seq.items():
-        assert [o for o, _, _ in sorted(pieces)] == np.cumsum([0, *[n for _, n, _ in sorted(pieces)]])[:-1].tolist()
-        size = sum(n for _, n, _ in pieces)
-        assert size == 128 if k < total // 128 else size & (size - 1) == 0
-        if size == 128:
-            held = collections.Counter()
-            for _, n, s in pieces:
-                held[s] += n
-            assert all(abs(held[s] - 128 * share[s]) <= 2 for s in share)
+        assert [o for o, _ in sorted(pieces)] == np.cumsum([0, *[n for _, n in sorted(pieces)]])[:-1].tolist()
+        size = sum(n for _, n in pieces)
+        assert size == length if k < total // length else size & (size - 1) == 0
+    assert set(by_seq) == set(range(len(by_seq)))
+
+
+def test_packing_round_trip(spark):
+    values = texts(90) + ["a<|endoftext|>b <|startoftext|> <|endoftext|>", "wide\u3000space x\u0301 'S don't \u2028 3rd", "long " * 3000]
+    docs = documents(spark, values)
+    rows = packing.pack(docs.repartition(4), length=128, window_sequences=4).collect()
+    check_pieces(rows, plain_ids(values), 128)
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 400), min_size=1, max_size=6), st.integers(1, 4))
-def test_schedule_sends_everything(sizes, window):
-    s = packing.Schedule(np.array(sizes), np.arange(1, len(sizes) + 1), 16, window)
-    sent = s.sent(np.arange(0, sum(sizes) // (16 * window) + 2))
-    assert (np.diff(sent, axis=0) >= 0).all() and (sent[-1] == sizes).all()
-    assert (sent.sum(axis=1) == np.minimum(np.arange(len(sent)) * 16 * window, sum(sizes))).all()
+def test_packing_keeps_the_targets_in_every_window(spark):
+    values = ["w x y z " * 5] * 600
+    sources = ["a"] * 300 + ["b"] * 200 + [None] * 60 + ["n"] * 40
+    docs = spark.createDataFrame(list(zip(range(600), values, sources, strict=True)), "doc_id long, text string, source string")
+    weights = {"a": 0.25, "b": 0.5, None: 0.25}
+    rows = packing.pack(docs.repartition(3), length=64, window_sequences=8, packet=32, weights=weights).collect()
+    check_pieces(rows, plain_ids(values), 64)
+    sent, totals = collections.Counter(), collections.Counter()
+    for r in rows:
+        sent[r["source"], r["window"]] += r["length"]
+        totals[r["source"]] += r["length"]
+    assert {k for s, k in sent if s == "n"} == {None} and None not in {k for s, k in sent if s != "n"}
+    first_late = min(r["sequence_id"] * 64 + r["offset"] for r in rows if r["source"] == "n")
+    assert all(r["sequence_id"] * 64 + r["offset"] < first_late for r in rows if r["source"] != "n")
+    for s, share in weights.items():
+        quantum, so_far = share * 512, 0
+        for k in range(totals[s] // int(quantum)):
+            so_far += sent[s, k]
+            assert 0 <= quantum * (k + 1) - so_far < 32  # the deficit is below a packet
+
+
+def test_packing_of_many_sources_and_of_a_lone_one(spark):
+    values = [f"word{i} and more" for i in range(2000)] + ["lone"]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(values)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.pack(docs, length=64, weights={"s1": 5.0, "s2000": 1e-9}).collect()
+    check_pieces(out, plain_ids(values), 64)
+    assert {r["window"] is None for r in out if r["source"] not in ("s1", "s2000")} == {True}
+    assert {r["window"] is None for r in out if r["source"] in ("s1", "s2000")} == {False}
 
 
 def test_toxicity(spark):
@@ -220,6 +246,8 @@ def test_toxicity(spark):
     assert rows[0]["expected_severity"] > rows[1]["expected_severity"] and list(model.thresholds) == sorted(model.thresholds)
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == 242
+    clash = docs.selectExpr("doc_id", "text", "source as toxic", "source as grade", "1 as p_toxic", "2 as expected_severity", "3 as c0")
+    assert toxicity.drop_toxic(clash, model).columns == clash.columns and toxicity.drop_toxic(clash, model).count() == 242
     none = toxicity.fit(docs, labels.where("toxic = 0"))
     assert toxicity.drop_toxic(docs, none).count() == 302 and toxicity.score(docs.limit(0), model).count() == 0
 
@@ -238,6 +266,33 @@ def test_toxicity_cut_withstands_wrong_labels(spark, flipped):
     assert len(rejected & toxic) >= 0.95 * len(toxic) and not rejected - toxic and model.cut <= 0.5
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Fitted on the labels of four fifths, the model is judged on documents whose labels it never saw."""
+    import zlib as z
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    unseen = {i for i in rows if z.crc32(str(i).encode()) % 5 == 0}
+    model = toxicity.fit(docs, labels.where("crc32(cast(doc_id as string)) % 5 <> 0"))
+    found = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    toxic = [i for i in unseen if rows[i] > 0]
+    assert sum(found[i]["toxic"] for i in toxic) >= 0.8 * len(toxic)  # some labels are wrong on purpose
+    assert sum(found[i]["toxic"] for i in unseen if rows[i] == 0) <= 0.01 * len(unseen)
+    assert all(0 <= r["expected_severity"] <= 3 for r in found.values())
+
+
+def test_toxicity_counts_every_feature_and_occurrence(spark):
+    r = random.Random(6)
+    marks = [f"vile{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(600)]
+    values = [" ".join(r.choices(marks, k=60)) if i % 2 else " ".join(r.choices([f"w{k}" for k in range(50)], k=60)) for i in range(400)]
+    docs = documents(spark, [*values, (marks[0] + " ") * 400])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    assert len(model.features) > 1200  # words and beginnings: none is left out
+    data = np.frombuffer(((marks[0] + " ") * 400).encode(), np.uint8)
+    assert toxicity.hits_of(model.features, data, np.array([0, len(data)]))[2].max() == pytest.approx(math.log2(401))
+
+
 def test_toxicity_cut_of_the_best_score():
     chance, toxic = np.array([0.99, 0.9, 0.8, 0.7, 0.2, 0.1, 0.1]), np.array([0, 1, 1, 1, 1, 0, 1], bool)
     assert toxicity.cut_of(chance, toxic, 0.1) == pytest.approx(0.15)
