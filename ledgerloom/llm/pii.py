@@ -11,10 +11,12 @@ Base kinds (leftmost, non-overlapping per kind; a match that fails validation is
 * card  14 to 19 digits, single spaces or hyphens between, passing Luhn
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]`` with 10 to 15 digits
 
-The method adds: ``handle`` (an account name after an at-sign that is no email), ``url`` (after a scheme),
-``ident`` (the number after a cue such as iban, ssn, passport or account).
+The method adds: ``handle`` (an account name of three characters or more after an at-sign that is no email), ``url``
+(after a scheme), ``ident`` (after a cue such as iban, ssn, passport or account, in any casing, and any number of
+separators: letters and digits, six or more, four of them digits, in groups that spaces or hyphens part).
 
-Null text is empty; an empty text has no spans; rows with equal ids are scanned one by one; other columns are ignored.
+Null text is empty; an empty text has no spans; long texts are scanned whole; rows with equal ids are scanned one by one;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ _DIGIT = frozenset(string.digits)
 _PHONE = frozenset(string.digits + " ().-")
 _URL = frozenset(string.ascii_letters + string.digits + "-._~:/?#[]@!$&'()*+,;=%")
 _IDENT = frozenset(string.ascii_letters + string.digits + "- ")
+_GAP = frozenset(" :#.=-nNoO\t")
+_LOWER = dict(zip(map(ord, string.ascii_uppercase), string.ascii_lowercase, strict=True))  # one character for one
 
 
 def _run(text: str, at: int, chars: frozenset, n: int) -> int:
@@ -121,7 +125,7 @@ def handle_at(text: str, at: int) -> tuple[int, int] | None:
     if at and (text[at - 1] in _LOCAL or text[at - 1] == "@"):
         return None
     end = _run(text, at + 1, _HANDLE, len(text))
-    return (at, end) if 3 <= end - at - 1 <= 30 else None
+    return (at, end) if end - at - 1 >= 3 else None
 
 
 def url_at(text: str, at: int, scheme: int) -> tuple[int, int] | None:
@@ -132,26 +136,21 @@ def url_at(text: str, at: int, scheme: int) -> tuple[int, int] | None:
 
 
 def ident_at(text: str, at: int, cue: int) -> tuple[int, int] | None:
-    """The identifier after a cue: up to a few separators, then 6 to 34 letters and digits with 4 digits at least."""
+    """The identifier after a cue and separators: letters and digits, six or more, four of them digits. A group after a
+    space or hyphen belongs to it as long as it begins with a digit or a capital."""
     n = len(text)
     if at and text[at - 1].isalnum():
         return None
-    start = at + cue
-    limit = min(n, start + 12)
-    while start < limit and text[start] in " :#.=-nNoO\t":
-        start += 1
-    end = _run(text, start, _IDENT, min(n, start + 48))
-    while end > start and text[end - 1] in "- ":
-        end -= 1
-    kept, last, digits = 0, start, 0
-    for i in range(start, end):
-        c = text[i]
+    start = _run(text, at + cue, _GAP, n)
+    kept, last, digits, i = 0, start, 0, start
+    while i < n and (c := text[i]) in _IDENT:
+        i += 1
         if c in "- ":
-            if i + 1 < end and text[i + 1] not in _DIGIT and not text[i + 1].isupper():
+            if i < n and text[i] in _IDENT and text[i] not in _DIGIT and not text[i].isupper():
                 break
             continue
-        kept, digits, last = kept + 1, digits + (c in _DIGIT), i + 1
-    return (start, last) if 6 <= kept <= 34 and digits >= 4 else None
+        kept, digits, last = kept + 1, digits + (c in _DIGIT), i
+    return (start, last) if kept >= 6 and digits >= 4 else None
 
 
 def finder():
@@ -166,15 +165,14 @@ def finder():
     for scheme in SCHEMES:
         machine.add_word(scheme, ("s", len(scheme)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            machine.add_word(form, ("c", len(cue)))
+        machine.add_word(cue, ("c", len(cue)))
     machine.make_automaton()
 
     def find(text: str) -> tuple[list[S.Span], list[S.Span]]:
         base: list[S.Span] = []
         more: list[S.Span] = []
         mail_end = ip_end = card_end = phone_end = url_end = ident_end = 0
-        for last, (kind, size) in machine.iter(text):
+        for last, (kind, size) in machine.iter(text.translate(_LOWER)):
             at = last - size + 1
             if kind == "0":
                 if at >= ip_end:
@@ -213,4 +211,5 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def digests(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One row for each of ``find_personal_data``, nulls, repeats and long texts included; see ``spans.digest``."""
     return S.digest(found, id_column, BASE, KINDS)
