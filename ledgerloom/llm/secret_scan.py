@@ -3,19 +3,22 @@
 One probabilistic automaton per credential format is inferred from labelled credentials: the examples form a prefix
 tree with counts, and states whose outgoing frequencies agree by Hoeffding's bound are merged, with their subtrees
 folded into each other (red-blue order), until no two states are compatible. A further automaton is inferred from
-ordinary identifiers. Every candidate of a text (a maximal run of credential characters with a digit in it, and every
-base match) is scored by its best format's log2 likelihood ratio per character against the ordinary automaton.
+ordinary identifiers. Every candidate of a text is scored by its best format's log2 likelihood ratio per character
+against the ordinary automaton: each maximal run of credential characters, and where a run is no secret as a whole, its
+parts between ``=``, then ``/``, then ``.``. What is shorter than the shortest labelled credential is no candidate.
 
 Labelled credentials are a parameter; by default they are drawn from publicly documented formats with a fixed seed.
 Training takes at most ``max_examples`` examples a format; it reads no table, and every text is scanned in one narrow
 pass. Base kinds (leftmost, non-overlapping per kind, failing matches dropped): assign, access, hex. The method adds
-``format`` spans; base spans stay whatever their score.
+``format`` spans; base spans stay without a score.
 
-Null text is empty; an empty text has no spans; rows with equal ids are scanned one by one; other columns are ignored.
+Null text is empty; an empty text has no spans; long texts are scanned whole; rows with equal ids are scanned one by one;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -28,7 +31,6 @@ from . import spans as S
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
-MIN_LENGTH = 16
 THRESHOLD = 0.75
 
 _CLASSES = {
@@ -69,8 +71,8 @@ def examples(n: int = 200, seed: int = 7) -> dict[str, list[str]]:
     return {k: [p + "".join(r.choices(chars, k=r.randint(a, b))) for _ in range(n)] for k, p, chars, a, b in FORMATS}
 
 
-def ordinary(n: int = 600, seed: int = 11) -> list[str]:
-    """n ordinary identifiers: compounds of words, paths, dates, versions and numbers."""
+def ordinary(n: int = 1200, seed: int = 11) -> list[str]:
+    """n ordinary identifiers: words of letters alone, compounds of words, paths, dates, versions and numbers."""
     r = random.Random(seed)
     syllables = "re tion the ing er an en on st or ment able con pre ch ou le de es la al in at ed ly ver un ge".split()
     out = list(_ORDINARY)
@@ -78,6 +80,10 @@ def ordinary(n: int = 600, seed: int = 11) -> list[str]:
         if r.random() < 0.2:  # plain numbers and times
             out.append(str(r.randint(10**15, 10**20)) if r.random() < 0.6 else f"20{r.randint(10, 29)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}.{r.randint(0, 999)}")
             continue
+        if r.random() < 0.4:  # words without digits, as long as some languages make them, or run together
+            word = "".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "t", "l"]) for _ in range(r.randint(2, 16)))
+            out.append(r.choice([str.lower, str.lower, str.capitalize, str.upper])(word))
+            continue
         parts = ["".join(r.choices(syllables, k=r.randint(1, 5))) for _ in range(r.randint(1, 5))]
         if r.random() < 0.3:
             parts = [p.capitalize() for p in parts]
@@ -88,21 +94,21 @@ def ordinary(n: int = 600, seed: int = 11) -> list[str]:
     return out
 
 
-def symbols(text: str) -> list[tuple[str, int]]:
+def symbols(text: str, prefix: int = PREFIX) -> list[tuple[str, int]]:
     """(symbol, size of its class) of every character; one symbol of its own for the first few."""
-    return [(("^" + c, 1) if i < PREFIX else _CLASSES.get(c, (c, 1))) for i, c in enumerate(text)]
+    return [(("^" + c, 1) if i < prefix else _CLASSES.get(c, (c, 1))) for i, c in enumerate(text)]
 
 
 class Automaton:
     """A probabilistic deterministic finite automaton inferred by merging compatible prefix-tree states."""
 
-    def __init__(self, texts: Sequence[str], alpha: float = 0.05):
+    def __init__(self, texts: Sequence[str], prefix: int = PREFIX, alpha: float = 0.05):
         self.total: list[int] = [0]
         self.final: list[int] = [0]
         self.edges: list[dict[str, list[int]]] = [{}]  # symbol -> [count, target]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         for t in texts:
-            self._add([s for s, _ in symbols(t)])
+            self._add([s for s, _ in symbols(t, prefix)])
         self._infer()
 
     def _add(self, path: list[str]) -> None:
@@ -199,14 +205,16 @@ class Model:
     def __init__(self, labelled: dict[str, Sequence[str]] | None = None, benign: Sequence[str] | None = None, max_examples: int = 400):
         labelled = labelled if labelled is not None else examples()
         self.formats = {k: Automaton(list(v)[:max_examples]) for k, v in labelled.items() if v}
-        self.ordinary = Automaton(list(benign if benign is not None else ordinary())[: 3 * max_examples])
+        self.least = min((len(x) for v in labelled.values() for x in v), default=0)
+        # ordinary identifiers have no fixed beginnings
+        self.ordinary = Automaton(list(benign if benign is not None else ordinary())[: 3 * max_examples], prefix=0)
 
     def score(self, text: str) -> tuple[float, str]:
         """The best format's log2 likelihood ratio per character against ordinary identifiers, and its label."""
         if not text or not self.formats:
             return 0.0, ""
         path = symbols(text)
-        plain = self.ordinary.log2(path)
+        plain = self.ordinary.log2(symbols(text, 0))
         best, label = max((a.log2(path), k) for k, a in self.formats.items())
         return (best - plain) / len(text), label
 
@@ -219,14 +227,31 @@ _KEYS = "|".join(_either(w) for w in ("password", "passwd", "secret", "token", "
 ASSIGN = re.compile(rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_LENGTH},}}")
-_DIGIT = re.compile(r"[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: What parts a run that is no secret as a whole, in this order.
+SEPARATORS = "=/."
 #: A text without one of these, in lower case, has no assignment.
 _HINTS = ("passw", "secret", "token", "api")
 
 
 def finder(model: Model, threshold: float = THRESHOLD):
     """A function from a text to its base spans and the added spans."""
+    score = functools.lru_cache(1 << 16)(lambda text: model.score(text)[0])
+
+    def secrets(text: str, start: int, separators: str) -> list[S.Span]:
+        """Spans of the secrets in a run that begins at ``start``."""
+        if len(text) < model.least:
+            return []
+        if score(text) >= threshold:
+            return [("format", start, start + len(text))]
+        for i, c in enumerate(separators):
+            if c in text:
+                out = []
+                for part in text.split(c):
+                    out += secrets(part, start, separators[i + 1 :])
+                    start += len(part) + 1
+                return out
+        return []
 
     def find(text: str) -> tuple[list[S.Span], list[S.Span]]:
         base: list[S.Span] = []
@@ -235,15 +260,12 @@ def finder(model: Model, threshold: float = THRESHOLD):
             base += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         if "AKIA" in text:
             base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+        base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+        held = {(a, b) for _, a, b in base}
         more: list[S.Span] = []
-        if _DIGIT.search(text):
-            base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-            held = {(a, b) for _, a, b in base}
-            for m in CANDIDATE.finditer(text):
-                if (m.start(), m.end()) not in held and _DIGIT.search(m[0]) and model.score(m[0])[0] >= threshold:
-                    more.append(("format", m.start(), m.end()))
-        else:  # letters alone can still be a run of 24 hexadecimal digits
-            base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+        for m in CANDIDATE.finditer(text):
+            if m.end() - m.start() >= model.least:
+                more += [s for s in secrets(m[0], m.start(), SEPARATORS) if s[1:] not in held]
         return base, more
 
     return find
@@ -258,6 +280,7 @@ def find_secrets(
 
 
 def digests(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One row for each of ``find_secrets``, nulls, repeats and long texts included; see ``spans.digest``."""
     return S.digest(found, id_column, BASE, KINDS)
 
 
