@@ -103,14 +103,16 @@ def mix(
     entropy_share: target entropy as a share of the logarithm of the number of sources. repeats: how often a source
     may be used at most. budget: tokens of the result as a multiple of the input's, or "all" (see ``exponent``).
 
-    A null source is a source of its own. Null and empty texts count one token. Rows with equal ids are taken like
-    others, side by side in ties. An empty table gives no rows.
+    A null source is a source of its own. Null and empty texts count one token, long texts are counted whole. Rows with
+    equal ids are taken like others, side by side in ties. An empty table gives no rows.
     """
     keep = keep or [id_column, source_column]
     sized = docs.select(
         *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)],
         F.col(id_column).cast("string").alias("id"),
-        F.coalesce(F.col(source_column).cast("string"), F.lit("\0null")).alias("source"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source_column).cast("string")), F.lit("n")).alias("source"),
+        # what a document is dealt by: its id, or where that is null its text, so that null ids fill no block alone
+        F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))).alias("name"),
         tokens(text_column).alias("n_tokens"),
     )
     sources = sized.select("source", "n_tokens").groupBy("source").agg(F.sum("n_tokens").alias("n"))
@@ -137,14 +139,14 @@ def mix(
         ).withColumn("epochs", F.ceil(F.col("goal") / F.col("n")).cast("int")),
         "mixture",
     )
-    name = F.coalesce("id", F.lit("null"))
+    name, label = F.col("name"), F.when(F.col("source") == "n", "null").otherwise(F.expr("substring(source, 2)"))
     dealt = sized.join(plan, "source").withColumn("block", order_key(F.lit(str(seed)), name) % F.col("blocks"))
     # sums by block, and where each block begins in every epoch's order
     blocks = C.table(dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("epochs").alias("epochs")), "blocks")
     turns = (
         blocks.where("epochs > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-        .withColumn("turn", order_key(F.lit(str(seed)), F.col("source"), F.col("block").cast("string"), F.col("epoch").cast("string")))
+        .withColumn("turn", order_key(F.lit(str(seed)), label, F.col("block").cast("string"), F.col("epoch").cast("string")))
         .withColumn("range", F.shiftright("turn", 50))
     )
     part = Window.partitionBy("source", "epoch", "range").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,7 +156,7 @@ def mix(
         ranges.select("source", "epoch", "range", "base"), ["source", "epoch", "range"]
     )
     placed = C.table(placed.select("source", "block", "epoch", (F.col("base") + F.col("inner")).alias("before")), "turns")
-    inside = Window.partitionBy("source", "block", "epoch").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block", "epoch").orderBy("key", "name").rowsBetween(Window.unboundedPreceding, -1)
     rows = (
         dealt.where("epochs > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
