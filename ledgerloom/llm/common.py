@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,26 @@ def shards(df: DataFrame) -> int:
     return max(least, -(-sum(n for n in sizes if n < 1 << 55) // SHARD_BYTES))  # larger: a source that knows no size
 
 
+def ranked(df: DataFrame, column: str, name: str = "ranks") -> DataFrame:
+    """Distinct non-null values of a column and their place in order (rank long from 0), without a single sorted task:
+    sorted ranges are counted, and a range begins where those before it end."""
+    kind = df.schema[column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(held, held + n))], names=["v", "part", "at"])
+            held += n
+
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
+    placed = table(values.repartitionByRange(shards(df), "v").sortWithinPartitions("v").mapInArrow(run, f"v {kind}, part int, at long"), name)
+    sizes = sorted(tuple(r) for r in placed.groupBy("part").count().collect())  # one row per range
+    before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).tolist()
+    begins = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "part int, begin long")
+    return placed.join(F.broadcast(begins), "part").select(F.col("v").alias(column), (F.col("begin") + F.col("at")).alias("rank"))
+
+
 # ---------------------------------------------------------------------------------------------- array files
 def _fs(uri: str) -> tuple[pafs.FileSystem, str, bool]:
     if "://" in uri or uri.startswith("file:"):

@@ -224,16 +224,20 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     in a window whose words also start earlier (smaller id; same document, earlier start). Windows are judged on the
     input.
 
-    Null and empty texts have no words. A null id comes after all others. Rows with equal ids stand at the same place:
-    equal windows at equal starts of them do not count as earlier. Other columns are ignored.
+    Null and empty texts have no words, long texts are taken whole. Ids may be of any kind that Spark can order. A null id
+    comes after all others. Rows with equal ids stand at the same place: equal windows at equal starts of them do not
+    count as earlier. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
     n, folder = C.shards(docs), C.shared_folder(spark, "recompression")
     kind = docs.schema[id_column].dataType.simpleString()
-    docs = docs.select(
-        F.col(id_column).alias("id"), F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("place"), F.col(text_column).cast("string").alias("text")
-    )
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        place = F.col("id").cast("long")
+    else:  # ids of other kinds are ordered by their rank
+        rows, place = rows.join(C.ranked(rows, "id"), "id", "left"), F.col("rank")
+    docs = rows.select("id", F.coalesce(place, F.lit(LAST)).alias("place"), "text")
 
     def read(batch: pa.RecordBatch):
         for row, end, data, offsets in C.text_chunks(batch):
@@ -358,6 +362,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
 
 
 def digests(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Rows (id, n_words, n_removed, kept_sha256), one for each row of ``remove_repeats``; a text without words keeps the
+    digest of the empty text."""
     return found.select(id_column, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -297,22 +297,25 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, id_column: str = "doc_id") -> DataFrame:
-    """Documents of which one stays per component: that with the smallest id. All columns stay.
-
-    Of rows with equal ids one stays; rows with a null id all stay.
-    """
+    """Documents of which one stays per component: that with the smallest id; see ``keep_smallest``."""
     return keep_smallest(docs, near_duplicates(docs, shingle, distance, id_column), id_column)
 
 
-def keep_smallest(docs: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Documents whose id is the smallest of its component, from rows (id, component_id)."""
+def keep_smallest(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Documents whose id is the smallest of its component, from rows (id, component_id), with all their columns.
+
+    Of rows with equal ids and texts one stays; rows with equal ids and other texts stay if one of them does. Rows with a
+    null id all stay. An empty table gives no rows.
+    """
     found = C.table(found, "near-duplicates")
     keep = found.where(F.col(id_column) == F.col("component_id")).select(id_column)
     kept = docs.join(keep.distinct(), id_column, "left_semi")
     if keep.groupBy(id_column).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_column])
+        kept = kept.dropDuplicates([id_column, text_column])
     return kept.unionByName(docs.where(F.col(id_column).isNull())).select(docs.columns)
 
 
 def digests(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Rows (id, fingerprint, component_id), one for each row of ``near_duplicates``: 16 lowercase hexadecimal digits, for
+    texts without words all zero."""
     return found.select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

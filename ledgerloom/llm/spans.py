@@ -22,7 +22,9 @@ def scan(
 ) -> DataFrame:
     """Rows (id, base, more): arrays of structs kind, start, end, in code points.
 
-    ``find()`` is called once per task and gives the function that scans one text. One narrow pass; no exchange.
+    ``find()`` is called once per task and gives the function that scans one text. One narrow pass; no exchange. Null
+    texts are empty; long texts are scanned whole; repeated rows and equal or null ids each have a row; an empty table
+    has none; other columns are ignored.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     span = "array<struct<kind:string,start:int,stop:int>>"
@@ -43,7 +45,8 @@ def scan(
 
 
 def digest(found: DataFrame, id_column: str, base_kinds: Sequence[str], all_kinds: Sequence[str]) -> DataFrame:
-    """Counts by base kind, the SHA-256 of the base spans and the string of all spans, from the rows of ``scan``."""
+    """Counts by base kind, the SHA-256 of the base spans and the string of all spans, one row for each row of ``scan``; a
+    null, empty or clean text has counts of zero, the digest of the empty string and an empty string."""
     order = F.create_map(*[x for i, k in enumerate(all_kinds) for x in (F.lit(k), F.lit(i))])
 
     def text(column):
