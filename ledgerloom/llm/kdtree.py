@@ -31,7 +31,8 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order].astype(np.float64)
+        self.ids, self.whole = ids[order], x[order]
+        self.x = self.whole.astype(np.float64)
         low, high, least, self.leaf, self.children = [], [], [], {}, {}
         todo = [(np.arange(len(ids)), -1)]
         while todo:
@@ -131,7 +132,7 @@ def _exact(x: np.ndarray, q: np.ndarray) -> bool:
 
 def _large(tree: Tree, q: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
     """What ``Tree.search`` finds, in whole numbers of any size, for components beyond a double's exact sums."""
-    scores = tree.x.astype(object) @ q.astype(object)
+    scores = (tree.whole.astype(object) * q.astype(object)).sum(axis=1)
     found = [(int(s), -int(i)) for s, i in zip(scores, tree.ids, strict=True) if i != own and (floor is None or s >= floor)]
     best = heapq.nlargest(k, found)
     if any(not -(1 << 63) <= s < 1 << 63 for s, _ in best):
