@@ -24,9 +24,9 @@ def register_overlay(vendor: str, patterns: Mapping[str, Sequence[str]]) -> None
 
 
 def first_meaningful_line(text: Column | str) -> Column:
-    """The first line of 3 characters or more that is no heading and does not begin with a digit; 200 characters."""
+    """The first line of 3 characters or more that is no heading, address or number; 200 characters."""
     lines = F.filter(F.transform(F.split(S.col(text), r"\n"), lambda s: F.trim(s)), lambda s: F.length(s) >= 3)
-    good = F.filter(lines, lambda s: ~F.regexp_like(s, F.lit(r"(?i)^(?:invoice|bill|statement|page|date|account|tax)\b|^[\d$#]")))
+    good = F.filter(lines, lambda s: ~F.regexp_like(s, F.lit(P.NO_VENDOR)) & ~F.regexp_like(s, F.lit(r"^\d+[./-]")))
     return F.left(F.try_element_at(good, F.lit(1)), F.lit(200))
 
 
@@ -43,21 +43,28 @@ def extract(docs: DataFrame, text_column: str = "text", vendor: str | None = Non
 def merge(scores: DataFrame) -> DataFrame:
     """Rows (doc_id, field, ml_value, ml_conf, rule_value, rule_conf) in; value, confidence and source out.
 
-    A model counts from MODEL_LEAST; a rule without confidence has its field's. Values that agree gain AGREEMENT, at
-    most 1. The more confident side wins; on a tie of agreeing sides the source is HYBRID and the rule's value stays.
+    A rule without confidence has its field's. Values that agree gain AGREEMENT on both sides, at most 1. The model wins
+    if it then reaches MODEL_LEAST and is not below the rule, or there is no rule; agreeing sides of equal confidence are
+    HYBRID. Else the rule wins. A model below MODEL_LEAST without a rule stays at half its confidence. Without any value
+    the value is empty and the confidence 0.
     """
     known = F.create_map(*[F.lit(x) for pair in RULE_CONFIDENCE.items() for x in pair])
     default = F.coalesce(known[F.col("field")], F.lit(0.6))
-    rc = F.when(F.coalesce("rule_conf", F.lit(0.0)) <= 0, default).otherwise(F.col("rule_conf"))
-    has_ml = ~S.blank("ml_value") & (F.coalesce("ml_conf", F.lit(0.0)) >= MODEL_LEAST)
-    has_rule = ~S.blank("rule_value")
-    agree = has_ml & has_rule & S.agrees("ml_value", "rule_value")
-    mc, rc = (F.when(agree, F.least(c + AGREEMENT, F.lit(1.0))).otherwise(c) for c in (F.coalesce("ml_conf", F.lit(0.0)), rc))
-    ml = has_ml & (~has_rule | (mc > rc))
-    source = F.when(~has_ml & ~has_rule, F.lit(None)).when(agree & (mc == rc), "HYBRID").when(ml, "ML").otherwise("RULE")
-    value = F.when(~has_ml & ~has_rule, F.lit(None)).when(ml, F.col("ml_value")).otherwise(F.col("rule_value"))
-    conf = F.when(~has_ml & ~has_rule, F.lit(0.0)).when(ml, mc).otherwise(rc)
-    return scores.select("doc_id", "field", value.alias("value"), F.round(conf, 4).alias("confidence"), source.alias("source"))
+    rows = scores.select(
+        "doc_id", "field", F.coalesce("ml_value", F.lit("")).alias("m"), F.coalesce("rule_value", F.lit("")).alias("r"), F.coalesce("ml_conf", F.lit(0.0)).alias("mc"),
+        F.when(F.coalesce("rule_conf", F.lit(0.0)) <= 0, default).otherwise(F.col("rule_conf")).alias("rc"),
+    )
+    gain = lambda c: F.when(F.col("agree"), F.least(F.col(c) + AGREEMENT, F.lit(1.0))).otherwise(F.col(c)).alias(c)
+    rows = rows.withColumn("agree", S.agrees("m", "r")).select("doc_id", "field", "m", "r", "agree", gain("mc"), gain("rc"))
+    rule = F.col("r") != ""
+    ml = (F.col("m") != "") & (F.col("mc") >= MODEL_LEAST) & ((F.col("mc") >= F.col("rc")) | ~rule)
+    hybrid = ml & rule & F.col("agree") & (F.col("rc") >= F.col("mc"))
+    weak = ~ml & ~rule & (F.col("m") != "")
+    return rows.select(
+        "doc_id", "field", F.when(ml | weak, F.col("m")).otherwise(F.col("r")).alias("value"),
+        F.round(F.when(ml, F.col("mc")).when(rule, F.col("rc")).when(weak, F.col("mc") * 0.5).otherwise(0.0), 4).alias("confidence"),
+        F.when(hybrid, "HYBRID").when(ml | weak, "ML").otherwise("RULE").alias("source"),
+    )
 
 
 def overall(merged: DataFrame) -> DataFrame:

@@ -26,20 +26,26 @@ def field_of(sentence: Column | str, longest: bool = True) -> Column:
     return out
 
 
-def correction(sentence: Column | str) -> Column:
-    """The value that a sentence asks for: a date, else a number, else text."""
-    return S.first_of(*[S.found(sentence, p) for p in P.CORRECTION])
+def correction(sentence: Column | str, field: Column | str) -> Column:
+    """The value that a sentence asks for: a date for dates, the next token for numbers and accounts, else a number
+    without commas; a number too where no date or token is found."""
+    kind = S.col(field)
+    is_date = kind.isin(*[k for k, v in S.SUMMARY_FIELDS.items() if v == "date"])
+    is_text = kind.isin(*[k for k, v in S.SUMMARY_FIELDS.items() if v == "string"])
+    number = F.replace(S.found(sentence, P.CORRECT_NUMBER), F.lit(","), F.lit(""))
+    return F.coalesce(F.when(is_date, S.date_key(S.found(sentence, P.CORRECT_DATE))), F.when(is_text, S.found(sentence, P.CORRECT_TEXT)), number)
 
 
 def noise_pattern(sentence: Column | str) -> Column:
     """A skip pattern for the phrase that a sentence wants gone, of 3 characters or more."""
-    phrase = S.found(sentence, P.NOISE_PHRASE)
+    phrase = S.found(sentence, P.NOISE_PHRASE)  # what follows until a full stop, comma or the end
     return F.when(F.length(phrase) >= 3, S.regex_escape(phrase))
 
 
 def corrections(feedback: DataFrame, id_column: str = "id", text_column: str = "feedback_text") -> DataFrame:
     """Rows (id, field, value): the first correction of each field."""
-    rows = sentences(feedback, id_column, text_column).select(id_column, "pos", field_of("sentence").alias("field"), correction("sentence").alias("value"))
+    rows = sentences(feedback, id_column, text_column).select(id_column, "pos", field_of("sentence").alias("field"), "sentence")
+    rows = rows.withColumn("value", S.trimmed(correction("sentence", "field")))
     first = F.min_by("value", "pos").alias("value")
     return rows.where("field is not null and value is not null").groupBy(id_column, "field").agg(first)
 

@@ -9,7 +9,7 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.operators import charges as C
 from ledgerloom.operators import reconcile as R
 from ledgerloom.operators import summary as M
-from ledgerloom.plans.render import bills, read
+from ledgerloom.plans.render import VARIANTS, bills, read, variants
 
 #: Items and totals straight from the tables.
 ITEMS = """
@@ -49,16 +49,36 @@ def bill_charges_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _charges(spark, sf_dir, credits=True).select("doc_id", "charge_desc", "amount")
 
 
+def bill_charges_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _charges(spark, sf_dir, noise=True).select("doc_id", "charge_desc", "amount")
+
+
+def bill_summary_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way of writing every field: the field's typed value as text."""
+    given = variants(spark, sf_dir)
+    typed = M.typed(M.summary_text(given, keep=("doc_id", "field")), keep=("doc_id", "field"))
+    value = F.element_at(F.create_map(*[x for f in S.SUMMARY_FIELDS for x in (F.lit(f), F.col(f).cast("string"))]), F.col("field"))
+    return typed.select("doc_id", "field", value.alias("value"))
+
+
+def _variants_sql() -> str:
+    ways = [(f, S.SUMMARY_FIELDS[f]) for f, texts in VARIANTS.items() for _ in texts]
+    rows = ", ".join(f"({i}, '{f}', '{k}')" for i, (f, k) in enumerate(ways))
+    return f"""SELECT o_orderkey AS doc_id, field, CASE kind WHEN 'decimal' THEN o_totalprice::DECIMAL(18,2)::VARCHAR WHEN 'date' THEN o_orderdate::DATE::VARCHAR
+ELSE CASE WHEN field = 'invoice_number' THEN 'N-' || o_orderkey ELSE '12-' || lpad(o_custkey::VARCHAR, 8, '0') END END AS value
+FROM orders JOIN (VALUES {rows}) v(i, field, kind) ON o_orderkey % {len(ways)} = i"""
+
+
 def charge_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.charge_totals(_charges(spark, sf_dir))
 
 
 def circuit_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _charges(spark, sf_dir, circuits=True).select("doc_id", "charge_desc", "amount", "location")
+    return _charges(spark, sf_dir, circuits=True).select("doc_id", "charge_desc", "amount", "line")
 
 
 def charge_group_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.group_charges(_charges(spark, sf_dir, circuits=True), "location").select("doc_id", "group_name", "n", "subtotal")
+    return R.group_charges(_charges(spark, sf_dir, circuits=True).withColumn("location", F.col("line")), "location").select("doc_id", "group_name", "n", "subtotal")
 
 
 def charge_group_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +86,7 @@ def charge_group_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def charge_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.charge_rollup(_charges(spark, sf_dir, circuits=True).withColumn("line", F.lit("all")))
+    return R.charge_rollup(_charges(spark, sf_dir, circuits=True).withColumns({"location": F.col("line"), "line": F.lit("all")}))
 
 
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +129,8 @@ QUERIES = {
     "bill_summary": bill_summary,
     "bill_charges": bill_charges,
     "bill_charges_credits": bill_charges_credits,
+    "bill_charges_noise": bill_charges_noise,
+    "bill_summary_variants": bill_summary_variants,
     "charge_totals": charge_totals,
     "circuit_association": circuit_association,
     "charge_group_line": charge_group_line,
@@ -120,16 +142,24 @@ QUERIES = {
     "gap_fill_merge": gap_fill_merge,
 }
 
+#: Circuits: charges of equal description and price are one; the nth of a description lies at its nth line.
+_AT = f"""WITH {ITEMS},
+ln AS (SELECT doc_id, p_name, price, 'CKT.' || l_suppkey AS ckt, 'Circuit ID: CKT.' || l_suppkey || chr(10) || p_name AS printed FROM items JOIN truth USING (doc_id)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, p_name ORDER BY price, printed) AS n FROM ln),
+kept AS (SELECT doc_id, p_name, price, row_number() OVER (PARTITION BY doc_id, p_name ORDER BY price) AS n FROM (SELECT DISTINCT doc_id, p_name, price FROM ln)),
+located AS (SELECT k.doc_id, k.p_name, k.price, l.ckt FROM kept k JOIN numbered l ON l.doc_id = k.doc_id AND l.p_name = k.p_name AND l.n = k.n)"""
 _BILLED = "SELECT i.* FROM items i JOIN truth USING (doc_id)"
 ORACLE_SQL = {
     "bill_summary": SUMMARY_SQL,
     "bill_charges": f"WITH {ITEMS} SELECT DISTINCT doc_id, p_name AS charge_desc, price AS amount FROM ({_BILLED})",
+    "bill_charges_noise": f"WITH {ITEMS} SELECT DISTINCT doc_id, p_name AS charge_desc, price AS amount FROM ({_BILLED})",
+    "bill_summary_variants": _variants_sql(),
     "bill_charges_credits": f"WITH {ITEMS} SELECT DISTINCT doc_id, p_name AS charge_desc, (CASE WHEN l_returnflag = 'R' THEN -price ELSE price END)::DECIMAL(18,2) AS amount FROM ({_BILLED})",
     "charge_totals": f"WITH {ITEMS} SELECT doc_id, count(*) AS n_charges, sum(price)::DECIMAL(18,2) AS total FROM (SELECT DISTINCT doc_id, p_name, price FROM ({_BILLED})) GROUP BY doc_id",
-    "circuit_association": f"WITH {ITEMS} SELECT DISTINCT doc_id, p_name AS charge_desc, price AS amount, 'CKT-' || min(l_suppkey) AS location FROM ({_BILLED}) GROUP BY doc_id, p_name, price",
+    "circuit_association": f"{_AT} SELECT doc_id, p_name AS charge_desc, price AS amount, ckt AS line FROM located",
     "charge_group_line": f"WITH {ITEMS} SELECT doc_id, '(No Line)' AS group_name, count(*) AS n, sum(price)::DECIMAL(18,2) AS subtotal, 1 AS group_order FROM (SELECT DISTINCT doc_id, p_name, price FROM ({_BILLED})) GROUP BY doc_id",
-    "charge_group_location": f"WITH {ITEMS} SELECT doc_id, location AS group_name, count(*) AS n, sum(price)::DECIMAL(18,2) AS subtotal FROM (SELECT doc_id, p_name, price, 'CKT-' || min(l_suppkey) AS location FROM ({_BILLED}) GROUP BY ALL) GROUP BY doc_id, location",
-    "charge_rollup": f"WITH {ITEMS} SELECT line, location, count(*) AS n, sum(price)::DECIMAL(18,2) AS subtotal, grouping(line, location)::INTEGER AS level FROM (SELECT 'all' AS line, doc_id, p_name, price, 'CKT-' || min(l_suppkey) AS location FROM ({_BILLED}) GROUP BY ALL) GROUP BY ROLLUP (line, location)",
+    "charge_group_location": f"{_AT} SELECT doc_id, ckt AS group_name, count(*) AS n, sum(price)::DECIMAL(18,2) AS subtotal FROM located GROUP BY doc_id, ckt",
+    "charge_rollup": f"{_AT} SELECT line, location, count(*) AS n, sum(price)::DECIMAL(18,2) AS subtotal, grouping(line, location)::INTEGER AS level FROM (SELECT 'all' AS line, ckt AS location, price FROM located) GROUP BY ROLLUP (line, location)",
     "reconciliation": RECONCILE_SQL,
     "synthetic_number": f"WITH {ITEMS} SELECT doc_id, lpad(c_custkey::VARCHAR, 9, '0') || 'X' || strftime(day, '%m%d%Y') AS invoice_number FROM truth",
     "bill_review": f"WITH {ITEMS} SELECT doc_id, 'INV-' || doc_id AS invoice_number, strftime(day, '%Y-%m-%d') AS invoice_date, subtotal::VARCHAR AS curr_chg, '0.00' AS prev_adj, (subtotal + tax)::DECIMAL(18,2)::VARCHAR AS end_bal FROM truth",
