@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ledgerloom.functions import patterns as P
 from ledgerloom.functions import scalars as S
@@ -81,7 +82,7 @@ def located(charges: DataFrame, docs: DataFrame, id_column: str = "doc_id", text
     return charges.join(found, [id_column, "pos"], "left").withColumn("line", F.coalesce("line", "circuit")).drop("circuit")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def walked(lines: pd.Series, wanted: pd.Series) -> pd.Series:
     """For each description of a document, in order, the circuit that it lies at, or null."""
     named, out = re.compile(P.CIRCUIT), []

@@ -6,11 +6,17 @@ success_count, fail_count). Patterns are columns, so a rule table of any size is
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ledgerloom.functions import patterns as P
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators import feedback as FB
 
 SCHEMA = (
     "id int, carrier_id int, field_name string, regex_pattern string, field_type string, target_table string, section string, "
@@ -59,11 +65,109 @@ def charge_overlay(lines: DataFrame, rules: DataFrame, id_column: str = "doc_id"
 
 
 def skip_filter(charges: DataFrame, rules: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Charges (id, carrier_id, charge_desc, ...) that no skip rule of their carrier matches."""
-    skips = rules.where("is_active").where(kind() == "skip").select("carrier_id", "regex_pattern")
-    matched = charges.select(id_column, "carrier_id", "charge_desc").distinct().join(skips, "carrier_id")
-    matched = matched.where(F.regexp_like("charge_desc", F.concat(F.lit("(?i)"), F.col("regex_pattern"))))
-    return charges.join(matched.select(id_column, "carrier_id", "charge_desc").distinct(), [id_column, "carrier_id", "charge_desc"], "left_anti")
+    """Charges (id, carrier_id, charge_desc, ...) that no skip rule of their carrier matches; patterns must compile."""
+    rows = charges.join(_by_carrier(rules, "_skips"), "carrier_id", "left")
+    hit = F.exists("_skips", lambda p: F.regexp_like("charge_desc", F.concat(F.lit("(?i)"), p)))
+    return rows.where(~F.coalesce(hit, F.lit(False))).select(charges.columns)
+
+
+def _by_carrier(rules: DataFrame, name: str) -> DataFrame:
+    """One row per carrier with an array of its skip patterns in order of rank. Arrays of one carrier's rules are small;
+    joined as one row per carrier they neither multiply charges nor need a second join to drop the matches."""
+    skips = ordered(rules).where(kind() == "skip")
+    return skips.groupBy("carrier_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "regex_pattern"))), lambda x: x["regex_pattern"]).alias(name))
+
+
+def skip_clean(charges: DataFrame, rules: DataFrame) -> DataFrame:
+    """Charges (carrier_id, charge_desc, ...) with all their carrier's skip patterns taken out of the description, one
+    after the other; those with fewer than 3 characters left are dropped. Blank descriptions stay. Patterns must compile."""
+    rows = charges.join(_by_carrier(rules, "_skips"), "carrier_id", "left")
+    cut = F.aggregate("_skips", F.col("charge_desc"), lambda d, p: F.trim(F.regexp_replace(d, F.concat(F.lit("(?i)"), p), F.lit(""))))
+    rows = rows.withColumn("_d", F.when(F.col("_skips").isNotNull() & ~S.blank("charge_desc"), cut).otherwise(F.col("charge_desc")))
+    kept = rows.where(F.col("_skips").isNull() | S.blank("charge_desc") | (F.length("_d") >= 3))
+    return kept.withColumn("charge_desc", F.col("_d")).select(charges.columns)
+
+
+# ---------------------------------------------------------------------------------------------- feedback to rules
+def from_feedback(feedback: DataFrame) -> DataFrame:
+    """Rows (feedback_id, carrier_id, field_name, regex_pattern, field_type, target_table) that feedback (id, carrier_id,
+    feedback_text, pdf_text, original_fields_json, confirmed_fields_json) teaches: the label of a value that a sentence
+    gives, skip patterns for text that a sentence wants gone, and the label of a confirmed value that differs from the
+    original, for fields that a sentence names. Feedback without text or document teaches nothing."""
+    given = feedback.where(~S.blank("feedback_text") & ~S.blank("pdf_text"))
+    said = FB.sentences(given, "id", "feedback_text")
+    said = said.select("id", "sentence", FB.field_of("sentence").alias("field"))
+    number = F.replace(S.found("sentence", P.CORRECT_NUMBER), F.lit(","), F.lit(""))
+    mentioned = said.where("field is not null")
+    wanted = mentioned.select("id", "field", number.alias("value")).where("value is not null")
+    texts = given.select("id", "carrier_id", "pdf_text", S.json_map("confirmed_fields_json").alias("_c"), S.json_map("original_fields_json").alias("_o"))
+    fixed = mentioned.select("id", "field").distinct().join(texts.where("_c is not null and _o is not null"), "id")
+    fixed = fixed.select("id", "field", F.try_element_at("_c", F.col("field")).alias("value"), F.try_element_at("_o", F.col("field")).alias("old"))
+    fixed = fixed.where(~S.blank("value") & (S.comparable("value") != S.comparable("old"))).select("id", "field", "value")
+    truth = wanted.unionByName(fixed).distinct()
+    found = induce_all(texts.select("id", "pdf_text"), truth)
+    kind_of = F.when(F.col("field").isin(*[k for k, v in S.SUMMARY_FIELDS.items() if v == "date"]), "date").when(F.col("field").isin("invoice_number", "carrier_account"), "string").otherwise("decimal")
+    fields = found.select("id", F.col("field").alias("field_name"), F.col("pattern").alias("regex_pattern"), kind_of.alias("field_type"), F.lit("t_invoice").alias("target_table"))
+    noise = said.select("id", FB.noise_pattern("sentence").alias("regex_pattern")).where("regex_pattern is not null")
+    noise = noise.select("id", F.lit("charge_skip_pattern").alias("field_name"), "regex_pattern", F.lit("skip").alias("field_type"), F.lit("t_charge").alias("target_table"))
+    rows = fields.unionByName(noise).distinct().join(given.select("id", "carrier_id"), "id")
+    return rows.select(F.col("id").alias("feedback_id"), "carrier_id", "field_name", "regex_pattern", "field_type", "target_table")
+
+
+def induce_all(docs: DataFrame, truth: DataFrame) -> DataFrame:
+    """``induce`` for documents (id, pdf_text) and several values of a field: each value on its own."""
+    keyed = truth.withColumn("_k", F.concat_ws("\u0001", F.col("id").cast("string"), "value"))
+    texts = keyed.select("id", "_k").distinct().join(docs, "id").select(F.col("_k").alias("doc_id"), F.col("pdf_text").alias("text"))
+    found = induce(texts, keyed.select(F.col("_k").alias("doc_id"), "field", "value"))
+    return found.join(keyed.select(F.col("_k").alias("doc_id"), "id").distinct(), "doc_id").select("id", "field", "value", "pattern").distinct()
+
+
+def from_reply(replies: DataFrame) -> DataFrame:
+    """Rows (feedback_id, carrier_id, field_name, regex_pattern, field_type, target_table, sort_order) from a language
+    model's replies (id, carrier_id, pdf_text, reply): a JSON array, with fences or prose around it; patterns must compile
+    and their first match in the document must capture 1 to 500 characters."""
+    items = F.from_json(S.json_outer("reply", "[]"), "array<struct<fieldName:string,regexPattern:string,targetTable:string,fieldType:string>>")
+    rows = replies.select("id", "carrier_id", "pdf_text", F.posexplode(items).alias("n", "x"))
+    rows = rows.select(
+        F.col("id").alias("feedback_id"), "carrier_id", "pdf_text", F.col("x.fieldName").alias("field_name"), F.col("x.regexPattern").alias("regex_pattern"),
+        F.coalesce("x.fieldType", F.lit("string")).alias("field_type"), F.coalesce("x.targetTable", F.lit("t_invoice")).alias("target_table"), "n",
+    ).where(~S.blank("field_name") & ~S.blank("regex_pattern"))
+    rows = rows.where(captures("pdf_text", "regex_pattern")).drop("pdf_text")
+    place = F.row_number().over(Window.partitionBy("feedback_id").orderBy("n")) + 49
+    return rows.withColumn("sort_order", place.cast("int")).drop("n")
+
+
+@F.pandas_udf(BooleanType())
+def captures(text: pd.Series, pattern: pd.Series) -> pd.Series:
+    """Whether a pattern compiles and its first match captures 1 to 500 characters; a bad pattern is no failure here,
+    which a built-in function on a column of patterns would make it."""
+    out = []
+    for t, p in zip(text, pattern, strict=True):
+        try:
+            m = re.compile(p, re.IGNORECASE | re.DOTALL).search(t or "")
+            out.append(bool(m and m.re.groups and m[1] and 0 < len(m[1].strip()) <= 500))
+        except re.error:
+            out.append(False)
+    return pd.Series(out)
+
+
+def learn(feedback: DataFrame, stored: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole loop on unprocessed feedback: (stored rules afterwards, learned rules, feedback marked as processed).
+
+    model: a port that gives replies (id, carrier_id, pdf_text, reply) for feedback that taught nothing by its text."""
+    todo = feedback.where(~F.coalesce("is_processed", F.lit(False)))
+    learned = from_feedback(todo)
+    if model is not None:
+        mute = todo.join(learned.select(F.col("feedback_id").alias("id")).distinct(), "id", "left_anti")
+        learned = learned.unionByName(from_reply(model(mute)).drop("sort_order"))
+    return upsert(stored, learned.drop("feedback_id")), learned, mark_processed(feedback, todo.select("id"))
+
+
+def mark_processed(feedback: DataFrame, ids: DataFrame) -> DataFrame:
+    """The feedback table with ``is_processed`` set for the ids, one or many."""
+    done = ids.select("id").distinct().withColumn("_done", F.lit(True))
+    rows = feedback.join(done, "id", "left")
+    return rows.withColumn("is_processed", F.coalesce("_done", F.coalesce("is_processed", F.lit(False)))).select(feedback.columns)
 
 
 # ---------------------------------------------------------------------------------------------- induction
@@ -135,12 +239,14 @@ def count_feedback(rules: DataFrame, confirmed: DataFrame, corrected: DataFrame)
 
 # ---------------------------------------------------------------------------------------------- diffs
 def field_diff(original: DataFrame, confirmed: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Rows (id, field, original, confirmed, status) of long forms: confirmed or corrected; blank confirmations are left out."""
+    """Rows (id, field, original, confirmed, status) of long forms, all fields of either: confirmed, corrected, or
+    unconfirmed where the confirmation is blank or missing."""
     joined = confirmed.select(id_column, "field", F.col("value").alias("confirmed")).join(
-        original.select(id_column, "field", F.col("value").alias("original")), [id_column, "field"], "left"
+        original.select(id_column, "field", F.col("value").alias("original")), [id_column, "field"], "full"
     )
-    status = F.when(S.comparable("original") == S.comparable("confirmed"), "confirmed").otherwise("corrected")
-    return joined.where(~S.blank("confirmed")).select(id_column, "field", "original", "confirmed", status.alias("status"))
+    same = S.comparable("original") == S.comparable("confirmed")
+    status = F.when(S.blank("confirmed"), "unconfirmed").when(same, "confirmed").otherwise("corrected")
+    return joined.select(id_column, "field", "original", "confirmed", status.alias("status"))
 
 
 def charge_diff(original: DataFrame, submitted: DataFrame, id_column: str = "doc_id") -> DataFrame:

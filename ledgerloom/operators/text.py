@@ -27,3 +27,10 @@ def array_lines(text: Column | str) -> Column:
     return F.transform(F.split(S.col(text), "\n"), lambda s: F.trim(s))
 
 
+
+
+def pages_text(pages: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """One text per document from pages (id, page, text): blank lines go, a blank line follows every page."""
+    kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.regexp_replace(s, "\r+$", "")), lambda s: F.trim(s) != "")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("page", F.concat(kept, F.array(F.lit(""))).alias("l")))), lambda p: p["l"])
+    return pages.groupBy(id_column).agg(F.array_join(F.flatten(rows), "\n").alias("text"))

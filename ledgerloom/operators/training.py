@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators import feedback as FB
 
 AROUND = 120
 
@@ -23,17 +30,22 @@ def contexts(docs: DataFrame, truth: DataFrame, id_column: str = "doc_id", text_
     field less than 10 characters apart the first stays."""
     v = truth.where(~S.blank("value")).select(id_column, F.col("field").alias("label"), F.explode(variants("value")).alias("v"))
     hits = docs.select(id_column, F.col(text_column).alias("_t")).join(v, id_column).withColumn("at", F.expr("instr(_t, v)")).where("at > 0")
-    order = Window.partitionBy(id_column, "label").orderBy("at", F.desc(F.length("v")))
-    hits = hits.withColumn("_b", F.lag("at").over(order)).where("_b is null or at - _b >= 10")
+    near = F.array_sort(F.collect_list(F.struct("at", (-F.length("v")).alias("n"), "v")))
+    # a hit stays if it lies 10 characters or more after the last one that stayed; a field has a dozen forms at most
+    kept = lambda a, h: F.when((F.size(a) == 0) | (h["at"] - F.try_element_at(a, F.lit(-1))["at"] >= 10), F.concat(a, F.array(h))).otherwise(a)
+    few = hits.groupBy(id_column, "label").agg(near.alias("h"))
+    few = few.select(id_column, "label", F.explode(F.aggregate("h", F.filter("h", lambda x: F.lit(False)), kept)).alias("x")).select(id_column, "label", "x.at", "x.v")
+    hits = few.join(docs.select(id_column, F.col(text_column).alias("_t")), id_column)
     return hits.select(id_column, "label", F.col("at").cast("int").alias("at"), S.context("_t", F.col("at"), F.length("v"), AROUND).alias("context"))
 
 
 def negatives(docs: DataFrame, positives: DataFrame, seed: int = 42, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (id, label "none", at, context): twice as many lines as positives, 10 at least, of 5 to 199 characters and
     farther than AROUND from any positive, by the hash of document, place and seed."""
-    starts = F.expr(f"aggregate(split(`{text_column}`, '\\n'), array(1), (a, s) -> concat(a, array(element_at(a, -1) + length(s) + 1)))")
-    lines = docs.select(id_column, F.posexplode(F.arrays_zip(F.split(text_column, "\n").alias("s"), starts.alias("at"))).alias("pos", "z"))
-    lines = lines.select(id_column, "pos", F.trim("z.s").alias("context"), F.col("z.at").alias("at")).where(F.length("context").between(5, 199))
+    lines = docs.select(id_column, F.posexplode(F.split(text_column, "\n")).alias("pos", "s"))
+    before = Window.partitionBy(id_column).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("at", (F.coalesce(F.sum(F.length("s") + 1).over(before), F.lit(0)) + 1).cast("int"))
+    lines = lines.select(id_column, "pos", F.trim("s").alias("context"), "at").where(F.length("context").between(5, 199))
     near = positives.groupBy(id_column).agg(F.collect_list("at").alias("places"), F.count("*").alias("n"))
     lines = lines.join(near, id_column).where(~F.exists("places", lambda p: F.abs(p - F.col("at")) <= AROUND))
     order = F.row_number().over(Window.partitionBy(id_column).orderBy(F.xxhash64(id_column, "pos", F.lit(seed))))
@@ -107,6 +119,98 @@ def promotion(metrics: DataFrame, gain: float = 0.005, tolerance: float = 0.02)
     return metrics.select("*", reason.alias("reason"), (reason == "better").alias("promoted"))
 
 
+#: The four labels of words and the keys under which corrections may give them, in order (fixed values).
+WEAK = {
+    "INVOICE_NO": ("invoice_no", "invoice_number"),
+    "DATE": ("date", "invoice_date", "invoice_st_dtm", "invoice_end_dtm", "invoice_due_dtm"),
+    "TOTAL": ("total", "end_bal", "curr_chg", "beg_bal", "payment", "curr_tax", "prev_adj", "curr_adj", "carrier_account", "account"),
+    "VENDOR": ("vendor", "carrier_name"),
+}
+
+
+def weak_targets(fields: Column | str) -> Column:
+    """A map from word label to the corrected value that stands for it."""
+    pairs = [F.struct(F.lit(label).alias("k"), S.map_get(S.col(fields), *keys).alias("v")) for label, keys in WEAK.items()]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
+
+
+def weak_labels(pages: DataFrame, most: int = 40) -> DataFrame:
+    """Pages (doc_id, page, words, corrected_fields) with ``labels``, one for each word: for every label the span of at most
+    ``most`` words that holds the value, or lies within it, and is longest against it; later labels overwrite."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def label(words: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([span_labels(list(w), dict(t), most) for w, t in zip(words, wanted, strict=True)])
+
+    return pages.withColumn("labels", label("words", weak_targets("corrected_fields")))
+
+
+def span_labels(words: list[str], wanted: dict[str, str], most: int = 40) -> list[str]:
+    """Word labels of one page; O where none fits."""
+    plain = [" ".join((w or "").lower().split()) for w in words]
+    out = ["O"] * len(words)
+    for name in WEAK:
+        target = " ".join(wanted.get(name, "").lower().split())
+        best, place = -1, None
+        for i in range(len(words) if target else 0):
+            text = ""
+            for j in range(i, min(i + most, len(words))):
+                text = f"{text} {plain[j]}".strip()
+                if text and (target in text or text in target) and len(text) > best:
+                    best, place = len(text), (i, j)
+                if len(text) > 3 * len(target):
+                    break
+        if place:
+            out[place[0] : place[1] + 1] = [name] * (place[1] + 1 - place[0])
+    return out
+
+
+class TokenTrainer(Protocol):
+    """The port of an outside trainer of word labels: pages (words, bboxes, labels) for training and for evaluation, and
+    the folder for the model; gives its score. ``token_dataset`` makes its input; none runs unless it is given."""
+
+    def __call__(self, train: DataFrame, evaluate: DataFrame, folder: str) -> float: ...
+
+
+def token_dataset(pages: DataFrame, share: float = 0.15, least: int = 5, key: str = "doc_id") -> tuple[DataFrame, DataFrame] | None:
+    """Labelled pages, words and labels of equal number, split by the hash of their key; None with fewer than ``least``."""
+    good = pages.where((F.size("words") > 0) & (F.size("words") == F.size("labels")))
+    if good.limit(least).count() < least:
+        return None
+    held = F.pmod(F.xxhash64(F.col(key)), F.lit(1000)) < int(share * 1000)
+    return good.where(~held), good.where(held)
+
+
+def predict_lines(lines: DataFrame, labelled: DataFrame, model: Callable[[DataFrame], DataFrame], id_column: str = "doc_id") -> DataFrame:
+    """Rows (id, pos, line, label, confidence, source): the label of the nearest labelled line, else the model's.
+
+    model: gives rows (id, pos, label, confidence) for lines (id, pos, line)."""
+    near = FB.fuzzy_lookup(lines, labelled, id_column=id_column).select(id_column, "pos", "line", "label", F.col("similarity").alias("confidence"), F.lit("feedback").alias("source"))
+    rest = lines.join(near.select(id_column, "pos"), [id_column, "pos"], "left_anti")
+    guessed = rest.join(model(rest).select(id_column, "pos", "label", "confidence"), [id_column, "pos"], "left")
+    return near.unionByName(guessed.select(id_column, "pos", "line", "label", "confidence", F.lit("model").alias("source")))
+
+
+class Retrainer:
+    """One training at a time: a call during another is refused; a finished one replaces the model that ``model`` reads."""
+
+    def __init__(self, train: Callable[[], object]):
+        self._train, self._lock, self._model = train, threading.Lock(), None
+
+    @property
+    def model(self) -> object:
+        return self._model
+
+    def retrain(self) -> bool:
+        if not self._lock.acquire(blocking=False):
+            return False
+        try:
+            self._model = self._train()
+            return True
+        finally:
+            self._lock.release()
+
+
 def active_version(configured: str | None, active: str | None, versions: DataFrame) -> str | None:
     """The configured model, else the active one, else the newest by name."""
     return configured or active or versions.agg(F.max("version")).first()[0]

@@ -21,13 +21,19 @@ def charge_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", charges.invalid("line").alias("is_invalid"), charges.ambiguous("line").alias("is_ambiguous"))
 
 
-_P = charges.P
-VALIDATION_SQL = rf"""WITH {LINES}
+#: Whole words and beginnings spelt out, apart from the operator's own tables.
+VALIDATION_SQL = rf"""WITH {LINES},
+t AS (SELECT doc_id, pos, trim(line) AS d, lower(trim(line)) AS w FROM l)
 SELECT doc_id, pos::INTEGER AS pos,
-  regexp_matches(line, '{_P.URL}') OR regexp_matches(line, '{_P.INFORMATIONAL}') OR regexp_matches(line, '{_P.DISCLAIMER}') OR regexp_matches(line, '{_P.FOOTER}') AS is_invalid,
-  length(line) > 80 OR length(line) - length(translate(line, '.!?', '')) >= 2 OR regexp_matches(line, '{_P.SOFT}')
-    OR (NOT regexp_matches(line, '{_P.BILLING}') AND len(string_split(line, ' ')) > 6) AS is_ambiguous
-FROM l"""
+  contains(w, '.com') OR contains(w, '.net') OR contains(w, '.org') OR contains(w, '.gov') OR contains(w, 'www.') OR contains(w, 'http://') OR contains(w, 'https://')
+    OR regexp_matches(w, '^(see|visit|contact|go\s+to)\s') OR regexp_matches(w, '^(learn\s+more|terms\s+and|continued\s+on|for\s+more|for\s+details|for\s+info)')
+    OR regexp_matches(w, '^(call|page)\s+[0-9]') OR starts_with(w, '©') OR regexp_matches(w, '^[*][*]?[*]?\s')
+    OR regexp_matches(w, 'subject\s+to\s+change|not\s+responsible|all\s+rights\s+reserved|privacy\s+policy|terms\s+of\s+service|terms\s+of\s+use')
+    OR regexp_matches(w, 'printed\s+on|generated\s+on|confidential|do\s+not\s+pay|do\s+not\s+discard') AS is_invalid,
+  length(d) > 80 OR regexp_matches(d, '[.!?][.!?]') OR len(list_intersect(string_split_regex(w, '[^a-z0-9_]+'), ['please', 'thank', 'sorry', 'important'])) > 0
+    OR regexp_matches(w, '(^|[^a-z0-9_])note:[a-z0-9_]')
+    OR (len(string_split(d, ' ')) > 6 AND len(list_filter(['$', 'charge', 'plan', 'fee', 'service', 'access', 'line', 'device', 'data', 'voice', 'text', 'roaming', 'discount', 'promo', 'credit'], lambda k: contains(w, k))) = 0) AS is_ambiguous
+FROM t"""
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,34 +95,35 @@ FROM o FULL JOIN n ON o.c = n.c"""
 
 def rule_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("carrier_id"), F.lit("end_bal").alias("field_name"), F.lit(0).alias("success_count"), F.lit(0).alias("fail_count"))
-    return rules.count_feedback(nation, nation.where("carrier_id % 2 = 0"), nation.where("carrier_id % 3 = 0")).drop("field_name")
+    region = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("carrier_id"), F.lit("end_bal").alias("field_name"), "n_regionkey")
+    return rules.count_feedback(nation, region.where("n_regionkey in (0, 1)"), region.where("n_regionkey in (1, 2)")).drop("field_name")
 
 
-def _long(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 7 != shift)
-    value = F.when(F.col("o_orderkey") % 5 == shift, F.concat(F.lit("$"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("A "), F.col("o_orderkey").cast("string")))
-    return o.select(F.col("o_orderkey").alias("doc_id"), F.lit("invoice_number").alias("field"), value.alias("value"))
+def _long(spark: SparkSession, sf_dir: str, confirmed: bool) -> DataFrame:
+    """Numbers of all orders as parsed and as confirmed: by priority written otherwise, changed, blank or missing."""
+    o, n, priority = read(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string"), F.left("o_orderpriority", F.lit(1))
+    own = F.concat(F.lit("$A "), n)
+    given = F.when(priority == "1", F.concat(F.lit("a"), n)).when(priority == "2", F.concat(F.lit("B "), n)).when(priority == "3", F.lit(" ")).when(priority != "4", own)
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.lit("invoice_number").alias("field"), (given if confirmed else F.when(priority != "5", own)).alias("value"))
+    return rows.where("value is not null")
 
 
 def field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.field_diff(_long(spark, sf_dir, 1), _long(spark, sf_dir, 2))
+    return rules.field_diff(_long(spark, sf_dir, False), _long(spark, sf_dir, True))
 
 
-def _v(s: int) -> str:
-    return f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = {s} THEN '$' || o_orderkey ELSE 'A ' || o_orderkey END AS value FROM orders WHERE o_orderkey % 7 <> {s}"
-
-
-FIELD_DIFF_SQL = f"""SELECT c.doc_id, 'invoice_number' AS field, o.value AS original, c.value AS confirmed,
-CASE WHEN lower(translate(coalesce(o.value, ''), '$, ', '')) = lower(translate(c.value, '$, ', '')) THEN 'confirmed' ELSE 'corrected' END AS status
-FROM ({_v(2)}) c LEFT JOIN ({_v(1)}) o ON o.doc_id = c.doc_id"""
+FIELD_DIFF_SQL = """SELECT o_orderkey AS doc_id, 'invoice_number' AS field, CASE WHEN p <> '5' THEN '$A ' || o_orderkey END AS original,
+CASE p WHEN '1' THEN 'a' || o_orderkey WHEN '2' THEN 'B ' || o_orderkey WHEN '3' THEN ' ' WHEN '5' THEN '$A ' || o_orderkey END AS confirmed,
+CASE p WHEN '1' THEN 'confirmed' WHEN '3' THEN 'unconfirmed' WHEN '4' THEN 'unconfirmed' ELSE 'corrected' END AS status FROM (SELECT *, left(o_orderpriority, 1) AS p FROM orders)"""
 
 
 def _positions(spark: SparkSession, sf_dir: str, changed: bool) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    desc = F.concat(F.lit("fee "), F.col("event_type"))
-    new = F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(desc)
-    rows = e.where(F.col("event_id") % 9 != (1 if changed else 2))
-    return rows.select(F.col("event_id").alias("doc_id"), F.lit(0).alias("pos"), (new if changed else desc).alias("charge_desc"), F.lit(1).cast(S.MONEY).alias("amount"))
+    """A charge for every event as parsed and as submitted: by type shortened, deleted, added or the same."""
+    kind = F.col("event_type")
+    desc = F.concat(F.lit("fee "), kind)
+    value = F.when(kind == "click", kind).when(kind != "error", desc) if changed else F.when(kind != "view", desc)
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.lit(0).alias("pos"), value.alias("charge_desc"), F.lit(1).cast(S.MONEY).alias("amount"))
+    return rows.where("charge_desc is not null")
 
 
 def charge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,26 +134,40 @@ def charge_diff_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.diff_skips(rules.charge_diff(_positions(spark, sf_dir, False), _positions(spark, sf_dir, True))).select("doc_id", "removed")
 
 
-_DIFF = """SELECT event_id AS doc_id, CASE WHEN event_id % 9 <> 2 THEN 'fee ' || event_type END AS old_desc,
-CASE WHEN event_id % 9 <> 1 THEN CASE WHEN event_id % 4 = 0 THEN event_type ELSE 'fee ' || event_type END END AS new_desc FROM events WHERE event_id % 9 NOT IN (1, 2) OR event_id % 9 IN (1, 2)"""
+_DIFF = """SELECT event_id AS doc_id, CASE WHEN event_type <> 'view' THEN 'fee ' || event_type END AS old_desc,
+CASE WHEN event_type = 'click' THEN event_type WHEN event_type <> 'error' THEN 'fee ' || event_type END AS new_desc FROM events"""
 
 
 def confirmed_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bills with confirmed end balances of every third bill in front of the parsed ones."""
-    parsed = summary.long_form(summary.summary_text(bills(spark, sf_dir)), "parsed", 1).where("field in ('end_bal', 'invoice_number')")
-    docs = bills(spark, sf_dir).where("doc_id % 3 = 0")
-    text = summary.summary_text(docs, keep=("doc_id", "carrier_id"))
-    fields = F.to_json(F.create_map(F.lit("carrier_account"), F.regexp_replace("carrier_account", "-", " "), F.lit("invoice_date"), S.date_key("invoice_date"), F.lit("end_bal"), F.lit("1.00")))
-    given = text.select(F.col("doc_id").cast("int").alias("id"), "carrier_id", fields.alias("confirmed_fields_json"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
-    every = summary.summary_text(bills(spark, sf_dir), keep=("doc_id", "carrier_id"))
-    hits = feedback.newest_confirmed(every.select("doc_id", "carrier_id", "carrier_account", "invoice_date"), given, most=1_000_000)
+    """Bills with confirmed balances in front of parsed ones: feedback for every bill, of five carriers, so that each has
+    more than the newest 800 that count; confirmed balances of open orders are blank."""
+    o = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 5).cast("int").alias("carrier_id"), F.concat(F.lit("1-"), F.col("o_custkey").cast("string")).alias("carrier_account"),
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("invoice_date"), "o_orderstatus", "o_orderdate", F.col("o_totalprice").cast(S.MONEY).cast("string").alias("end_bal"),
+    )
+    fields = F.to_json(F.create_map(
+        F.lit("Carrier_Account"), F.regexp_replace("carrier_account", "-", " "), F.lit("invoice_date"), S.date_key("invoice_date"),
+        F.lit("end_bal"), F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("C"), F.col("doc_id").cast("string"))).otherwise(F.lit("")), F.lit("other"), F.lit("x"),
+    ))
+    given = o.select(F.col("doc_id").alias("id"), "carrier_id", F.when(F.col("o_orderstatus") == "P", F.lit("no json")).otherwise(fields).alias("confirmed_fields_json"), F.col("o_orderdate").alias("created_at"))
+    hits = feedback.newest_confirmed(o, given)
+    parsed = o.select("doc_id", F.lit("end_bal").alias("field"), F.col("end_bal").alias("value"), F.lit("parsed").alias("source"))
     return feedback.confirmed_overlay(parsed, hits).where("field = 'end_bal'").select("doc_id", "value", "source")
 
 
+CONFIRMED_SQL = """WITH o AS (SELECT *, o_custkey % 5 AS c, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders),
+f AS (SELECT * FROM o WHERE n <= 800 AND o_orderstatus <> 'P'),
+m AS (SELECT o.o_orderkey AS doc_id, arg_max(f.o_orderkey, struct_pack(d := f.o_orderdate, k := f.o_orderkey)) AS k FROM o JOIN f ON o.c = f.c AND o.o_custkey = f.o_custkey AND o.o_orderdate::DATE = f.o_orderdate::DATE GROUP BY 1),
+v AS (SELECT o.o_orderkey AS doc_id, o.o_totalprice::DECIMAL(18,2)::VARCHAR AS parsed, CASE WHEN g.o_orderstatus = 'F' THEN 'C' || g.o_orderkey END AS given
+      FROM o LEFT JOIN m ON o.o_orderkey = m.doc_id LEFT JOIN orders g ON g.o_orderkey = m.k)
+SELECT doc_id, coalesce(given, parsed) AS value, CASE WHEN given IS NULL THEN 'parsed' ELSE 'confirmed' END AS source FROM v"""
+
+
 def duplicate_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("INV-"), (F.col("o_orderkey") % 5000).cast("string")).alias("invoice_number"), F.when(F.col("o_custkey") % 10 > 0, (F.col("o_custkey") % 10).cast("int")).alias("carrier_id"))
-    saved = o.where("doc_id < 3000").withColumn("invoice_number", F.lower("invoice_number"))
-    return feedback.duplicates(o, saved).select("doc_id")
+    """Open bills whose number and carrier a finished order's bill has; null carriers are equal."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", F.concat(F.lit("INV-"), (F.col("o_orderkey") % 5000).cast("string")).alias("invoice_number"), F.when(F.col("o_custkey") % 10 > 0, (F.col("o_custkey") % 10).cast("int")).alias("carrier_id"))
+    saved = o.where("o_orderstatus = 'F'").withColumn("invoice_number", F.lower("invoice_number"))
+    return feedback.duplicates(o.where("o_orderstatus <> 'F'"), saved).select("doc_id")
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,18 +193,21 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     rows = e.select(
         F.col("event_id").alias("doc_id"), F.lit("total").alias("field"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("ml_value"),
-        ((F.col("event_id") % 10) / 10).alias("ml_conf"), F.when(F.col("event_id") % 4 > 0, F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.lit("other"))).alias("rule_value"), F.lit(0.0).alias("rule_conf"),
+        F.when(F.col("event_id") % 10 == 7, 0.74).when(F.col("event_id") % 10 == 5, 0.52).otherwise((F.col("event_id") % 10) / 10).alias("ml_conf"),
+        F.when(F.col("event_id") % 4 > 0, F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.lit("other"))).alias("rule_value"), F.lit(0.0).alias("rule_conf"),
     )
     return basic.merge(rows)
 
 
-HYBRID_SQL = """WITH s AS (SELECT event_id, CASE WHEN event_id % 3 > 0 AND event_id % 10 / 10.0 >= 0.55 THEN event_type END AS m, event_id % 10 / 10.0::DOUBLE AS mc0,
-  CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'other' END END AS r FROM events),
-a AS (SELECT *, m IS NOT NULL AND r IS NOT NULL AND (contains(m, r) OR contains(r, m)) AS agree FROM s),
-b AS (SELECT *, CASE WHEN agree THEN least(mc0 + 0.05, 1.0) ELSE mc0 END AS mc, CASE WHEN agree THEN 0.74 + 0.05 ELSE 0.74 END AS rc FROM a)
-SELECT event_id AS doc_id, 'total' AS field, CASE WHEN m IS NOT NULL AND (r IS NULL OR mc > rc) THEN m ELSE r END AS value,
-  round(CASE WHEN m IS NULL AND r IS NULL THEN 0.0 WHEN m IS NOT NULL AND (r IS NULL OR mc > rc) THEN mc ELSE rc END::DOUBLE, 4) AS confidence,
-  CASE WHEN m IS NULL AND r IS NULL THEN NULL WHEN agree AND mc = rc THEN 'HYBRID' WHEN m IS NOT NULL AND (r IS NULL OR mc > rc) THEN 'ML' ELSE 'RULE' END AS source FROM b"""
+#: The rule value is called total, whose rules have 0.74; a tie is reached by agreeing sides at 0.74 and by others alike.
+HYBRID_SQL = """WITH s AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type ELSE '' END AS m, CASE event_id % 10 WHEN 7 THEN 0.74 WHEN 5 THEN 0.52 ELSE event_id % 10 / 10.0 END::DOUBLE AS p,
+  CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 2 = 0 THEN upper(event_type) ELSE 'other' END AS r FROM events),
+a AS (SELECT *, m <> '' AND r <> '' AND lower(m) = lower(r) AS agree FROM s),
+e AS (SELECT *, CASE WHEN agree THEN least(p + 0.05, 1.0) ELSE p END AS x, CASE WHEN agree THEN 0.74 + 0.05 ELSE 0.74 END::DOUBLE AS y FROM a),
+c AS (SELECT *, CASE WHEN m = '' AND r = '' THEN 'nothing' WHEN m = '' THEN 'rule' WHEN r = '' AND x >= 0.55 THEN 'model' WHEN r = '' THEN 'weak' WHEN x < 0.55 OR x < y THEN 'rule' WHEN agree AND x = y THEN 'both' ELSE 'model' END AS k FROM e)
+SELECT event_id AS doc_id, 'total' AS field, CASE WHEN k = 'rule' THEN r ELSE m END AS value,
+  round(CASE k WHEN 'nothing' THEN 0.0 WHEN 'rule' THEN y WHEN 'weak' THEN x * 0.5 ELSE x END, 4) AS confidence,
+  CASE k WHEN 'both' THEN 'HYBRID' WHEN 'model' THEN 'ML' WHEN 'weak' THEN 'ML' ELSE 'RULE' END AS source FROM c"""
 
 
 def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,18 +228,18 @@ SELECT doc_id, label, min(pos) AS start, count(*) AS n_words, string_agg(word, '
 
 
 def fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages' first 40 characters, damaged, against the undamaged ones."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.left(F.lower("text"), F.lit(40)), "[^a-z ]", "").alias("k")).where("length(k) > 20")
+    """Benchmark passages, damaged, against all undamaged ones."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("k"))
     labelled = b.select(F.col("k").alias("text"), F.col("item_id").cast("string").alias("label"), F.lit("2024-01-01").alias("created_at"))
     damaged = b.select(F.col("item_id").alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.lit("zz"), F.expr("substring(k, 3)")).alias("line"))
     return feedback.fuzzy_lookup(damaged, labelled).select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
-FUZZY_SQL = """WITH b AS (SELECT item_id, regexp_replace(left(lower(text), 40), '[^a-z ]', '', 'g') AS k FROM benchmark),
-k AS (SELECT item_id, trim(regexp_replace(k, '\\s+', ' ', 'g')) AS k FROM b WHERE length(k) > 20),
-d AS (SELECT item_id AS doc_id, trim(regexp_replace('zz' || substr(k, 3), '\\s+', ' ', 'g')) AS t FROM b WHERE length(k) > 20)
+FUZZY_SQL = """WITH b AS (SELECT item_id, text AS k FROM benchmark),
+k AS (SELECT item_id, trim(regexp_replace(regexp_replace(lower(k), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS k FROM b),
+d AS (SELECT item_id AS doc_id, trim(regexp_replace(regexp_replace(lower('zz' || substr(k, 3)), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM b)
 SELECT doc_id, round(max(1 - levenshtein(t, k)::DOUBLE / greatest(length(t), length(k))), 6) AS similarity FROM d, k
-WHERE 1 - levenshtein(t, k)::DOUBLE / greatest(length(t), length(k)) >= 0.8 GROUP BY doc_id"""
+WHERE t <> '' AND k <> '' AND 1 - levenshtein(t, k)::DOUBLE / greatest(length(t), length(k)) >= 0.8 GROUP BY doc_id"""
 
 
 def llm_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +291,7 @@ def recent_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = bills(spark, sf_dir)
-    return tables.report_tsv(summary.summary_text(text), charges.parse(text))
+    return tables.report_tsv(summary.summary_text(text), {"CHARGES": charges.parse(text)})
 
 
 def _events(kind: str):
@@ -284,27 +308,48 @@ def scalar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wireless_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bills in the layout by line: one per order, a block per item's supplier, a plan charge and data use in each."""
-    price = F.format_number(F.col("l_extendedprice").cast(S.MONEY), 2)
-    i = read(spark, sf_dir, "lineitem").where("l_extendedprice > 0").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_extendedprice").alias("l_extendedprice"), F.max("l_quantity").cast("int").alias("q"))
+    """Bills in the layout by line, one per order, a block for each supplier of it with plans old and new, features, a
+    device by instalments, usage of all kinds, and for some a continued part; suppliers of even number have a plan that was
+    refunded only."""
+    price = F.format_number(F.col("price"), 2)
+    i = read(spark, sf_dir, "lineitem").where("l_extendedprice > 0").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_extendedprice").cast(S.MONEY).alias("price"), F.max("l_quantity").cast("int").alias("q"))
+    number, even, q = F.col("l_suppkey").cast("string"), F.col("l_suppkey") % 2 == 0, F.col("q").cast("string")
     phone = F.concat(F.lit("555-010-"), F.lpad((F.col("l_suppkey") % 10000).cast("string"), 4, "0"))
+    plan = F.when(even, F.concat(F.lit("Refund of plan 01/05 - 02/04 -$"), price)).otherwise(F.concat(F.lit("PreviousPlan\nOld plan 01/01 - 02/01 $99.00\nNewPlan\nUnlimited plan 01/05 - 02/04 $"), price))
+    data = F.when(even, F.concat(F.lit("Megabyte Usage megabytes 2,048 "), q)).otherwise(F.concat(F.lit("Gigabyte Usage gigabytes 5 "), q))
+    more = F.when(F.col("q") > 25, F.concat(F.lit("\nCharges by line details (continued)\nInvoice: 1\n"), phone, F.lit("\nOther Charges and Credits\nLate thing $1.25\nA line\n$7.77"))).otherwise("")
     block = F.concat(
-        F.lit("Summary for Ann Example "), phone, F.lit("\nAnn Example\nMonthly charges\nUnlimited plan 01/05 - 02/04 $"), price, F.lit("\nEquipment charges\nGalaxy S9 installment\n$"), price,
-        F.lit("\nUsage and purchase charges\nCalling Plan minutes unlimited "), F.col("q").cast("string"), F.lit(" -- --\nGigabyte Usage gigabytes 5 "), F.col("q").cast("string"), F.lit(" -- $1.00"),
+        F.lit("Charges by line details\nEmp "), number, F.lit(" Billing period: now\n"), phone, F.lit("\nGalaxy S9\nMonthly Charges $1.00\nPlan\nMonth in Advance\n"), plan,
+        F.lit("\nFeatures & AddOns\nCloud storage $2.00\n$10 Off promo -$10.00\nTotal Features $3.00\nEquipment Charges\nGalaxy S9 installment (2 of 24)\nPaid 1 of 24\n$"), price,
+        F.lit("\nSurcharges\nAdmin fee $0.00\nSee www.example.com $4.00\nUsage and Purchase Charges\nSome call $3.00\nCalling Plan minutes unlimited 1,"), F.lpad(q, 3, "0"), F.lit(" -- --\n"),
+        data, F.lit(" -- --\nText messages unlimited 7 -- --\nRoaming Canada minutes 10 "), q, F.lit(" -- $1.50\nTotal Voice $0.25\nTotal Data $1.75\nTotal Current Charges $9.99\nStray item $9.00"), more,
     )
     rows = i.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_suppkey", block.alias("b")))), lambda x: x["b"]), "\n").alias("b"))
-    return rows.select("doc_id", F.concat(F.lit("Bill overview\nPrevious balance: $5.00\nBilling period: Dec 20 - Jan 19, 2024\nTotal current charges: $7.25\nTotal amount due $12.25\nCharges by line details\n"), "b").alias("text"))
+    head = (
+        "Account Charges and Line Charges\nTaxes, Governmental Surcharges & Fees $2.50\nAccount Level Charges Details\nAccount credit -$4.00\nPaid on time $1.00\nAccount credit -$4.00\n"
+        "Usage and Purchase Charges\nBilling period: Dec 20 - Jan 19, 2024\nBalance from last bill $5.00\nPayment - Thank You -$1,005.00\nThis month's charges are $7.25\nTotal due $12.25\n"
+    )
+    return rows.select("doc_id", F.lit(1).alias("carrier_id"), F.concat(F.lit(head), "b").alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
-_W = "SELECT l_orderkey AS doc_id, '555-010-' || lpad((l_suppkey % 10000)::VARCHAR, 4, '0') AS phone, max(l_extendedprice)::DECIMAL(18,2) AS price, max(l_quantity)::INTEGER AS q FROM lineitem WHERE l_extendedprice > 0 GROUP BY l_orderkey, l_suppkey"
+_W = "SELECT l_orderkey AS doc_id, l_suppkey AS s, l_suppkey % 2 = 0 AS even, '555-010-' || lpad((l_suppkey % 10000)::VARCHAR, 4, '0') AS phone, max(l_extendedprice)::DECIMAL(18,2) AS price, max(l_quantity)::INTEGER AS q FROM lineitem WHERE l_extendedprice > 0 GROUP BY l_orderkey, l_suppkey"
+_W_CHARGES = f"""SELECT doc_id, d AS charge_desc, a::DECIMAL(18,2) AS amount, phone AS line FROM ({_W}), LATERAL (
+  SELECT 'Cloud storage' AS d, 2.00 AS a UNION ALL SELECT '$10 Off promo', -10.00 UNION ALL SELECT 'Galaxy S9 installment', price
+  UNION ALL SELECT 'Late thing', 1.25 WHERE q > 25
+  UNION ALL SELECT 'Refund of plan 01/05 - 02/04', -price WHERE even
+  UNION ALL SELECT 'Old plan 01/01 - 02/01', 99.00 WHERE NOT even UNION ALL SELECT 'Unlimited plan 01/05 - 02/04', price WHERE NOT even)"""
 
 
 def wireless_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wireless.charges(wireless.blocks(wireless_bills(spark, sf_dir))).select("doc_id", "charge_desc", "amount", "line")
 
 
+def wireless_account_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wireless.account_charges(wireless_bills(spark, sf_dir)).select("doc_id", "charge_desc", "amount", "line")
+
+
 def wireless_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wireless.usage(wireless.blocks(wireless_bills(spark, sf_dir))).select("doc_id", "line_number", "usagetype", "usage_limit", "usage", "charge")
+    return wireless.usage(wireless.blocks(wireless_bills(spark, sf_dir))).select("doc_id", "line_number", "employee_name", "usoc_name", "usagetype", "usage_limit", "usage", "charge")
 
 
 def wireless_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +361,10 @@ def wireless_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wireless_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wireless.summary_overrides(wireless_bills(spark, sf_dir)).drop("payment")
+    docs = wireless_bills(spark, sf_dir)
+    wide = summary.summary_text(docs, keep=("doc_id", "text"))
+    done = wireless.summary_overrides(wide)
+    return summary.typed(done).select("doc_id", "invoice_st_dtm", "invoice_end_dtm", "beg_bal", "payment", "curr_chg", "curr_tax", "end_bal")
 
 
 QUERIES = {
@@ -330,7 +378,7 @@ QUERIES = {
         "label_distribution": label_distribution, "line_labels": line_labels, "training_contexts": training_contexts, "negative_samples": negative_samples,
         "model_promotion": model_promotion, "recent_bills": recent_bills, "report_tsv": report_tsv, "events_tumbling": _events("tumbling"),
         "events_sliding": _events("sliding"), "events_session": _events("session"), "scalar_keys": scalar_keys, "wireless_blocks": wireless_blocks,
-        "wireless_charges": wireless_charges, "wireless_usage": wireless_usage, "wireless_inventory": wireless_inventory, "wireless_summary": wireless_summary,
+        "wireless_charges": wireless_charges, "wireless_account_charges": wireless_account_charges, "wireless_usage": wireless_usage, "wireless_inventory": wireless_inventory, "wireless_summary": wireless_summary,
     }.items()
 }
 
@@ -342,13 +390,13 @@ ORACLE_SQL = {
     "learned_rule_overlay": f"WITH {ITEMS} SELECT doc_id, 'invoice_number' AS field, doc_id::VARCHAR AS value FROM truth",
     "rule_induction": f"WITH {ITEMS} SELECT 'invoice_number' AS field, 'Invoice\\s+Number:\\s*\\$?\\s*(\\S+)' AS pattern, count(*) AS n FROM truth",
     "rule_upsert": UPSERT_SQL,
-    "rule_counters": "SELECT n_nationkey AS carrier_id, (n_nationkey % 2 = 0)::INTEGER AS success_count, (n_nationkey % 2 <> 0 AND n_nationkey % 3 = 0)::INTEGER AS fail_count FROM nation",
+    "rule_counters": "SELECT n_nationkey AS carrier_id, (n_regionkey IN (0, 1))::INTEGER AS success_count, (n_regionkey = 2)::INTEGER AS fail_count FROM nation",
     "field_diff": FIELD_DIFF_SQL,
     "charge_diff": f"SELECT doc_id, old_desc, new_desc, {_DIFF_STATUS} AS status FROM ({_DIFF})",
     "charge_diff_rules": f"SELECT doc_id, CASE WHEN new_desc IS NULL THEN old_desc ELSE 'fee' END AS removed FROM ({_DIFF}) WHERE new_desc IS NULL OR old_desc <> new_desc",
-    "confirmed_overlay": f"WITH {ITEMS} SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM truth u WHERE u.doc_id % 3 = 0 AND u.c_custkey = t.c_custkey AND u.day = t.day) THEN '1.00' ELSE (subtotal + tax)::DECIMAL(18,2)::VARCHAR END AS value, CASE WHEN EXISTS (SELECT 1 FROM truth u WHERE u.doc_id % 3 = 0 AND u.c_custkey = t.c_custkey AND u.day = t.day) THEN 'confirmed' ELSE 'parsed' END AS source FROM truth t",
-    "duplicate_bills": "WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 5000 AS n, o_custkey % 10 AS c FROM orders) SELECT doc_id FROM o WHERE EXISTS (SELECT 1 FROM o s WHERE s.doc_id < 3000 AND s.n = o.n AND s.c = o.c)",
-    "feedback_corrections": "SELECT o_orderkey AS id, 'end_bal' AS field, o_orderkey || '.50' AS value FROM orders UNION ALL SELECT o_orderkey, 'invoice_date', strftime(o_orderdate, '%m/%d/%Y') FROM orders",
+    "confirmed_overlay": CONFIRMED_SQL,
+    "duplicate_bills": "WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 5000 AS n, o_custkey % 10 AS c, o_orderstatus = 'F' AS saved FROM orders) SELECT doc_id FROM o WHERE NOT saved AND EXISTS (SELECT 1 FROM o s WHERE s.saved AND s.n = o.n AND s.c = o.c)",
+    "feedback_corrections": "SELECT o_orderkey AS id, 'end_bal' AS field, o_orderkey || '.50' AS value FROM orders UNION ALL SELECT o_orderkey, 'invoice_date', strftime(o_orderdate, '%Y-%m-%d') FROM orders",
     "noise_mentions": r"SELECT p_partkey, replace(p_name, ' ', '\s+') AS pattern FROM part",
     "basic_rules": f"WITH {ITEMS} SELECT doc_id, 'INV-' || doc_id AS invoice_no, strftime(day, '%m/%d/%Y') AS date, format('{{:,.2f}}', (subtotal + tax)::DOUBLE) AS total, 'Example Telecom services' AS vendor FROM truth",
     "hybrid_merge": HYBRID_SQL,
@@ -363,9 +411,13 @@ ORACLE_SQL = {
     "events_sliding": "SELECT s AS w_start, s + INTERVAL 1 HOUR AS w_end, event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DECIMAL(28,4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS s FROM events, unnest(range(0, 2)) AS u(k)) GROUP BY ALL",
     "events_session": "SELECT min(ts) AS w_start, max(ts) + INTERVAL 30 MINUTE AS w_end, event_type, user_id, count(*) AS n, sum(value::DECIMAL(18,4))::DECIMAL(28,4) AS total FROM (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, event_type, g",
     "scalar_keys": "SELECT c_custkey, lower(regexp_replace(c_name, '[^A-Za-z0-9 ]', '', 'g')) AS k, regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g') AS a, abs(c_acctbal::DECIMAL(18,2))::DECIMAL(18,2) AS m, (-abs(c_acctbal::DECIMAL(18,2)))::DECIMAL(18,2) AS s, (c_custkey / 1024.0)::DECIMAL(28,3) AS gb FROM customer",
-    "wireless_blocks": f"SELECT doc_id, count(DISTINCT phone) AS n_blocks FROM ({_W}) GROUP BY doc_id",
-    "wireless_charges": f"SELECT doc_id, d AS charge_desc, price AS amount, phone AS line FROM ({_W}), (VALUES ('Unlimited plan 01/05 - 02/04'), ('Galaxy S9 installment')) v(d)",
-    "wireless_usage": f"SELECT doc_id, phone AS line_number, 'V' AS usagetype, '-1' AS usage_limit, q::VARCHAR AS usage, '0.00' AS charge FROM ({_W}) UNION ALL SELECT doc_id, phone, 'D', '5.000', q || '.000', '1.00' FROM ({_W})",
-    "wireless_inventory": f"SELECT doc_id, phone AS reference_number, 'Ann Example' AS employee_name, 'Unlimited plan' AS plan_name, price::VARCHAR AS plan_amount, 'Galaxy S9 installment' AS service_type FROM ({_W})",
-    "wireless_summary": f"SELECT DISTINCT doc_id, DATE '2023-12-20' AS invoice_st_dtm, DATE '2024-01-19' AS invoice_end_dtm, 7.25::DECIMAL(18,2) AS curr_chg, 5::DECIMAL(18,2) AS beg_bal, 12.25::DECIMAL(18,2) AS end_bal FROM ({_W})",
+    "wireless_blocks": f"SELECT doc_id, count(*) AS n_blocks FROM ({_W}) GROUP BY doc_id",
+    "wireless_charges": _W_CHARGES,
+    "wireless_account_charges": f"SELECT DISTINCT doc_id, 'Account credit' AS charge_desc, (-4)::DECIMAL(18,2) AS amount, NULL::VARCHAR AS line FROM ({_W})",
+    "wireless_usage": f"""SELECT doc_id, phone AS line_number, 'Emp ' || s AS employee_name, usoc_name, usagetype, usage_limit, usage, charge FROM ({_W}), LATERAL (
+  SELECT 'Calling Plan' AS usoc_name, 'V' AS usagetype, '-1' AS usage_limit, '1' || lpad(q::VARCHAR, 3, '0') AS usage, '0.25' AS charge
+  UNION ALL SELECT 'Gigabyte Usage', 'D', '5.000', q || '.000', '1.75' WHERE NOT even UNION ALL SELECT 'Megabyte Usage', 'D', '2.000', (q / 1024.0)::DECIMAL(28,3)::VARCHAR, '1.75' WHERE even
+  UNION ALL SELECT 'Text', 'T', '-1', '7', '0.00' UNION ALL SELECT 'Roaming Canada', 'R', '10', q::VARCHAR, '1.50')""",
+    "wireless_inventory": f"SELECT doc_id, phone AS reference_number, 'Emp ' || s AS employee_name, CASE WHEN even THEN 'Refund of plan' ELSE 'Unlimited plan' END AS plan_name, CASE WHEN even THEN '-' ELSE '' END || format('{{:,.2f}}', price::DOUBLE) AS plan_amount, 'Galaxy S9' AS service_type FROM ({_W})",
+    "wireless_summary": f"SELECT DISTINCT doc_id, DATE '2023-12-20' AS invoice_st_dtm, DATE '2024-01-19' AS invoice_end_dtm, 5::DECIMAL(18,2) AS beg_bal, 1005::DECIMAL(18,2) AS payment, 7.25::DECIMAL(18,2) AS curr_chg, 2.5::DECIMAL(18,2) AS curr_tax, 12.25::DECIMAL(18,2) AS end_bal FROM ({_W})",
 }

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerloom.functions import scalars as S
 from ledgerloom.operators import summary as M
+from ledgerloom.sources import tables
 
 
 def parse_stream(docs: DataFrame) -> DataFrame:
@@ -28,10 +30,10 @@ def on_new_rows(stream: DataFrame, act: Callable[[int], None], least: int, check
     spark, path = stream.sparkSession, f"{checkpoint}/counts"
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.agg(F.lit(number).alias("batch"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        counts = [r["n"] for r in spark.read.parquet(path).groupBy("batch").agg(F.max("n").alias("n")).orderBy("batch").collect()]
-        total = sum(counts)
-        if total // least > (total - counts[-1]) // least:
+        batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        counts = spark.read.schema("n long, batch int").parquet(path)
+        total, last = counts.agg(F.sum("n"), F.sum(F.when(F.col("batch") == number, F.col("n")))).first()
+        if total // least > (total - last) // least:
             act(total)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(step).start()
@@ -48,3 +50,22 @@ def event_windows(events: DataFrame, kind: str = "tumbling", delay: str = "10 mi
     out = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("decimal(28,4)").alias("total"))
     keep = ["event_type", *(["user_id"] if kind == "session" else [])]
     return out.select(F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), *keep, "n", "total")
+
+
+def labelled_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled lines from CSV files as they arrive in a folder: rows (text, label) as in ``tables.labelled_rows``."""
+    raw = spark.readStream.schema("value string").option("pathGlobFilter", "*.csv").text(folder)
+    return tables.labelled_rows(raw)
+
+
+def append_stream(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of feedback to a log of JSON files, exactly once, until what has come is written."""
+    return feedback.writeStream.format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def lookup_stream(lines: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Lines of a stream (doc_id, pos, line) with the label of the newest equal labelled line (text, label, created_at),
+    null without one. The labelled side is read anew with every batch, so corrections count from the next batch on."""
+    known = labelled.select(S.lookup_text("text").alias("_k"), "label", "created_at").where("_k <> ''")
+    known = known.groupBy("_k").agg(F.max_by("label", "created_at").alias("label"))
+    return lines.withColumn("_k", S.lookup_text("line")).join(known, "_k", "left").drop("_k")
