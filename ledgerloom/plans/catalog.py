@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import bill_queries, rule_queries
+from ledgerloom.plans import bill_queries, more_queries, rule_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (bill_queries, rule_queries):
+for _module in (bill_queries, rule_queries, more_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
 
