@@ -69,10 +69,10 @@ def release() -> None:
 atexit.register(release)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it again: later steps survive the loss of executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -221,6 +221,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + mix((ends - starts).astype(U)))
 
 
+def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges that share nothing with ``word_hashes``: the sum of a random value for each byte and
+    its place in the range, mixed with the length. Ranges of about two blocks of bytes are hashed at a time."""
+    sizes = ends - starts
+    upto = np.cumsum(sizes)
+    out = np.empty(len(sizes), U)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - sizes[a] + 2 * _BLOCK)))
+        n, stop = sizes[a:b], upto[a:b] - (upto[a] - sizes[a])
+        within = np.arange(stop[-1]) - np.repeat(stop - n, n)
+        raw = data[within + np.repeat(starts[a:b], n)].astype(U)
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix((within.astype(U) << U(8) | raw) * U(_BASE) + U(_BASE)))])
+        out[a:b] = mix(sums[stop] - sums[stop - n] + mix(n.astype(U)))
+        a = b
+    return out
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, a place of each, and for every item the number of its value; by hashing, not sorting."""
     codes, values = pd.factorize(h)

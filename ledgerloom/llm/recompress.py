@@ -11,7 +11,7 @@ Three narrow passes over the texts; only hashes move between tasks, counted per
 1. Symbols of the last round are counted over the corpus; those seen twice or more are kept as sorted arrays. Texts
    that are equal as a whole are found by their word sequence.
 2. A window with a determined symbol that is not shared cannot repeat. All other windows are named by 96 bits of
-   their words; the earliest place of each that repeats is kept as sorted arrays. Whole copies of an earlier document
+   their words, of two hashes of each that don't depend on one another; the earliest place of each that repeats is kept as sorted arrays. Whole copies of an earlier document
    are not looked at: each of their windows starts earlier.
 3. Windows that are not the earliest of their name cover words to remove.
 
@@ -110,22 +110,21 @@ def _rolling(h: np.ndarray, window: int) -> np.ndarray:
     return (sums[window:] - sums[: len(sums) - window])[:n] * back[:n]
 
 
-def window_names(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and further 32 bits naming the words of every window."""
+def window_names(h: np.ndarray, g: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits from the words' first hashes and 32 from their second ones, naming the words of every window."""
     if len(h) < window:
         return np.empty(0, C.U), np.empty(0, np.uint32)
-    more = _rolling(h ^ C.U(0x5851F42D4C957F2D), window)
-    return C.mix(_rolling(h, window)), (C.mix(more) >> C.U(32)).astype(np.uint32)
+    return C.mix(_rolling(h, window)), (C.mix(_rolling(g, window)) >> C.U(32)).astype(np.uint32)
 
 
-def document_names(h: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of each document's word sequence, and in the second its number of words too."""
+def document_names(h: np.ndarray, g: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each document's word sequence, from the words' first and from their second hashes."""
     size = np.bincount(doc, minlength=docs)
     first = np.cumsum(size) - size
     place = (np.arange(len(h)) - first[doc] + 1).astype(C.U) * C.U(_P)
     out = []
-    for salt in (0x1234567, 0x89ABCDEF):
-        sums = np.concatenate([np.zeros(1, C.U), np.cumsum(C.mix(C.mix(h ^ C.U(salt)) + place))])
+    for x in (h, g):
+        sums = np.concatenate([np.zeros(1, C.U), np.cumsum(C.mix(C.mix(x ^ C.U(0x1234567)) + place))])
         out.append(C.mix(sums[first + size] - sums[first] + size.astype(C.U)))
     return out[0], out[1]
 
@@ -242,15 +241,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     def read(batch: pa.RecordBatch):
         for row, end, data, offsets in C.text_chunks(batch):
             s, e, doc = C.words(data, offsets)
-            yield row, end, data, s, e, doc, C.word_hashes(data, s, e), batch.column(1).slice(row, end - row).to_numpy()
+            h, g = C.word_hashes(data, s, e), C.second_hashes(data, s, e)
+            yield row, end, data, s, e, doc, h, g, batch.column(1).slice(row, end - row).to_numpy()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, _, _, _, doc, h, place in read(batch):
+            for row, end, _, _, _, doc, h, g, place in read(batch):
                 if not len(h):
                     continue
                 names, often = C.tally(parse(h, doc).name)
-                a, b = document_names(h, doc, end - row)
+                a, b = document_names(h, g, doc, end - row)
                 big = np.bincount(doc, minlength=end - row) >= window
                 a, b, place = a[big], b[big], place[big]
                 order = np.argsort(a, kind="stable")
@@ -282,25 +282,25 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     shared = docs.mapInArrow(count, "shard int, kind string, a binary").groupBy("shard").applyInPandas(share, "shard int, n long")
     first_pass = frozenset(f"{kind}{r['shard']}" for r in shared.collect() for kind in ("symbol", "document"))  # one row per shard
 
-    def look(arrays: Arrays, h: np.ndarray, doc: np.ndarray, place: np.ndarray):
+    def look(arrays: Arrays, h: np.ndarray, g: np.ndarray, doc: np.ndarray, place: np.ndarray):
         """Candidate windows (starts in the chunk) of documents that are not whole copies, their names, and the copies."""
         size = np.bincount(doc, minlength=len(place))
-        a, b = document_names(h, doc, len(place))
+        a, b = document_names(h, g, doc, len(place))
         copy = arrays.copies(a, b, place) & (size >= window)
         s = parse(h, doc)
         at = candidates(s, arrays.shared(s.name), doc, window)
         at = at[~copy[doc[at]]]
-        name, check = window_names(h, window)
+        name, check = window_names(h, g, window)
         first = np.cumsum(size) - size
         return copy, at, name[at], check[at], doc[at], (at - first[doc[at]]).astype(np.uint32)
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(folder, n, first_pass)
         for batch in batches:
-            for _, _, _, _, _, doc, h, place in read(batch):
+            for _, _, _, _, _, doc, h, g, place in read(batch):
                 if not len(h):
                     continue
-                _, _, name, check, number, start = look(arrays, h, doc, place)
+                _, _, name, check, number, start = look(arrays, h, g, doc, place)
                 if not len(name):
                     continue
                 order, first = _earliest([name, check, place[number], start])
@@ -335,11 +335,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(folder, n, both_passes)
         for batch in batches:
-            for row, end, data, s, e, doc, h, place in read(batch):
+            for row, end, data, s, e, doc, h, g, place in read(batch):
                 size = np.bincount(doc, minlength=end - row)
                 gone = np.zeros(len(h), bool)
                 if len(h):
-                    copy, at, name, check, number, start = look(arrays, h, doc, place)
+                    copy, at, name, check, number, start = look(arrays, h, g, doc, place)
                     at = at[arrays.later(name, check, place[number], start)]
                     marks = np.bincount(at, minlength=len(h) + 1) - np.bincount(at + window, minlength=len(h) + 1)
                     gone = (np.cumsum(marks)[: len(h)] > 0) | copy[doc]

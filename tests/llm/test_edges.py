@@ -97,6 +97,23 @@ def test_recompression_orders_ids_of_any_kind(spark):
     assert {r["doc_id"]: r["n_removed"] for r in recompress.remove_repeats(docs).collect()} == {"doc-a": 0, "doc-b": 25, None: 25}
 
 
+MIRROR = {97: 98, 98: 97}
+
+
+def test_recompression_tells_words_apart_whose_first_hashes_are_equal(spark):
+    a = "a"
+    while len(a) < 1024:  # any polynomial hash by powers of two gives this word and its mirror the same value
+        a += a.translate(MIRROR)
+    b, rest = a.translate(MIRROR), " ".join(f"w{i}" for i in range(30))
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    ends = np.array([0, len(a), 2 * len(a)])
+    first, second = (f(data, ends[:-1], ends[1:]) for f in (common.word_hashes, common.second_hashes))
+    assert first[0] == first[1] and second[0] != second[1]
+    rows = [(0, f"{a} {rest}"), (1, f"{b} {rest}"), (2, f"{b} {rest}")]
+    found = recompress.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found} == {0: (31, 0, rows[0][1]), 1: (31, 30, b), 2: (31, 31, "")}
+
+
 def test_null_ids_are_dealt_to_blocks(spark):
     docs = spark.createDataFrame([(None, f"w{i} " * 9, None if i % 2 else "n") for i in range(200)], "doc_id long, text string, source string")
     out = mixing.mix(docs, entropy_share=None, repeats=1.0, block_tokens=50).collect()
