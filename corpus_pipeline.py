@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import common, mixing, packing, secret_scan, setjoin, simhash, toxicity
 
@@ -14,9 +15,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.8 of their five-word shingles the one with the smallest id
-    stays. No distance of Operator 5's fingerprints that is cheap enough reaches all such pairs, so the shingles meet."""
-    return simhash.keep_smallest(docs, setjoin.near_duplicates(docs, shingle=5, similarity=0.8))
+    """Of each group of documents linked by Operator 5, or by a similarity of 0.8 of their five-word shingles, the one with
+    the smallest id stays. Fingerprints at three bits do not reach all pairs of that similarity, so shingles meet besides;
+    links of both kinds go on from one another. Texts stand for their documents by 64 bits of their SHA-256."""
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = docs.select(text.alias("h"), "text")
+    bits = simhash.near_duplicates(texts, id_column="h").select("h", "component_id")
+    sets = setjoin.near_duplicates(texts, shingle=5, similarity=0.8, id_column="h").select("h", "component_id")
+    node = lambda h: F.xxhash64(h)
+    pairs = bits.unionByName(sets).where("h <> component_id").select(node("h").alias("a"), node("component_id").alias("b")).distinct()
+    joined = common.components(common.table(pairs, "near-links")).withColumnRenamed("id", "node")
+    rows = docs.select("doc_id", node(text).alias("node")).join(joined, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    lows = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return simhash.keep_smallest(docs, rows.join(lows, "root").select("doc_id", "component_id"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
