@@ -67,6 +67,28 @@ def test_components(spark):
     assert all(want[i] == got.get(i, i) for i in want)
 
 
+@pytest.mark.parametrize("few", [8, 1 << 18])
+def test_components_across_tasks(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "TASK_EDGES", few)
+    r = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in r.integers(-300, 300, (260, 2))] + [(i + 1, i) for i in range(1000, 1040)] + [(-(2**63), 2**63 - 1), (2**63 - 1, 7), (9, 9), (9, 9)]
+    rows = common.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()
+    got = {x["id"]: x["root"] for x in rows}
+    want = roots(pairs, {i for p in pairs for i in p})
+    assert len(rows) == len(got) and all(want[i] == got.get(i, i) for i in want)
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Every query takes of the driver's memory; the pipeline's near-duplicate stage joins components six times."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-edges", "components")
+    rows = common.components(edges).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r["id"], r["root"]) for r in rows} == {(i, 0) for i in range(1, 41)} and jobs <= 10
+
+
 def test_mixing_matches_sql(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
