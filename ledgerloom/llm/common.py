@@ -7,6 +7,7 @@ no Python object is made per word. Large intermediate arrays travel as binary bl
 from __future__ import annotations
 
 import atexit
+import ctypes
 import mmap
 import os
 import tempfile
@@ -144,6 +145,17 @@ def get_array(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype=dtype)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system. Workers are kept for later stages, and an executor's limit counts what
+    all of them hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 # ---------------------------------------------------------------------------------------------- text buffers
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold fewer rows, so that long texts do not add up in a worker; applies to the session."""
@@ -282,6 +294,8 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = np.flatnonzero(root != np.arange(len(ids)))
         for part in (far[i : i + 65536] for i in range(0, len(far), 65536)):
             yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(ids[root[part]])], names=["a", "b"])
+        del held, a, b, ids, at, root, far
+        give_back()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

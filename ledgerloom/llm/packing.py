@@ -89,6 +89,7 @@ def _coded(docs: DataFrame, kind: str, path: str) -> DataFrame:
                     ],
                     names=["id", "queue", "part", "place", "size", "ids"],
                 )
+        C.give_back()
 
     return C.table(docs.mapInArrow(encode, f"id {kind}, queue string, part int, place long, size long, ids binary"), "ids", "zstd")
 

@@ -95,6 +95,7 @@ def frequent_tokens(docs: DataFrame, size: int, id_column: str) -> np.ndarray:
                 full = [k for k in range(n) if edges[k] < edges[k + 1]]
                 blobs = [h[order[edges[k] : edges[k + 1]]].tobytes() for k in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "tokens"])
+        C.give_back()
 
     def most(pdf: pd.DataFrame) -> pd.DataFrame:
         h, times = C.tally(np.concatenate([np.frombuffer(x, C.U) for x in pdf["tokens"]]))
@@ -274,12 +275,15 @@ def candidates(docs: DataFrame, size: int, bound: Fraction, frequent: np.ndarray
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["shard", "token", "digest", "n", "place"]
                 )
+        C.give_back()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         token, digest = (np.concatenate([np.frombuffer(x, C.U) for x in pdf[c]]) for c in ("token", "digest"))
         n, place = (np.concatenate([np.frombuffer(x, np.int32) for x in pdf[c]]).astype(np.int64) for c in ("n", "place"))
         pairs = led(token, digest, n, place, bound, LEADERS) if known is None else meetings(token, digest, n, place, bound, known)
         pairs = pairs.view(np.int64)
+        del token, digest, n, place
+        C.give_back()
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     rows = docs.select("text").mapInArrow(sign, "shard int, token binary, digest binary, n binary, place binary")
@@ -336,6 +340,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, boun
                 h, at, digest = sets_of(data, offsets, size, frequent)
                 blobs = [h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(blobs, pa.binary())], names=["digest", "tokens"])
+        C.give_back()
 
     wanted = C.table(reps.join(nodes, "digest", "left_semi").select(F.col("rep").alias("id")).distinct(), "candidate-ids")
     few = docs.join(wanted, "id", "left_semi").unionByName(docs.where("id IS NULL"))
@@ -383,6 +388,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 sketch = pa.array([x.tobytes() for x in sketches(h, at)], pa.binary())
                 cells = [batch.column(0).slice(row, end - row), pa.array(d.view(np.int64)), pa.array(np.diff(at)), sketch]
                 yield pa.RecordBatch.from_arrays(cells, names=["id", "digest", "n", "sketch"])
+        C.give_back()
 
     signed = C.table(texts.mapInArrow(digest, f"id {kind}, digest long, n long, sketch binary"), "shingle-digests")
     told = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))

@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
             for row, end, data, offsets in C.text_chunks(batch):
                 fp = fingerprints_of(data, offsets, shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(fp)], names=["id", "fp"])
+        C.give_back()
 
     C.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))

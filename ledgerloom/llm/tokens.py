@@ -76,6 +76,7 @@ def vocabulary(docs: DataFrame, path: str, text_column: str = "text") -> tuple[s
                     ],
                     names=["shard", "hashes", "words"],
                 )
+        C.give_back()
 
     def store(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -98,7 +99,10 @@ def vocabulary(docs: DataFrame, path: str, text_column: str = "text") -> tuple[s
         C.put_array(f"{folder}/{shard}.hash", h[np.array(keep, dtype=np.int64)[kept]])
         C.put_array(f"{folder}/{shard}.start", starts.astype(np.uint32))
         C.put_array(f"{folder}/{shard}.ids", ids)
-        return pd.DataFrame({"shard": [shard], "n": [len(kept)]})
+        out = pd.DataFrame({"shard": [shard], "n": [len(kept)]})
+        del pdf, h, found, order, words, keep, kept, ids, starts
+        C.give_back()
+        return out
 
     rows = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(name, "shard int, hashes binary, words binary")
     stored = rows.groupBy("shard").applyInPandas(store, "shard int, n long").select("shard").collect()  # one row per shard
