@@ -1,10 +1,13 @@
 """The pipeline's near-duplicate stage against all pairs of documents."""
 
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import setjoin, simhash
+from ledgerloom.llm.common import mix
 
 from .helpers import documents, lower, roots, texts, words
 
@@ -76,3 +79,66 @@ def test_pipeline_stage_uses_fingerprints(spark):
     assert bits[2] == 1 and sets[2] == 2
     want = roots([(i, c) for found in (bits, sets) for i, c in found.items()], set(range(4)))
     assert sorted(r["doc_id"] for r in p.drop_near_duplicates(spark, docs, "").collect()) == sorted(set(want.values())) == [0, 1]
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """Rows of each table that is written, and its plan, by name."""
+    from ledgerloom.llm import common
+
+    seen, write = {}, common.table
+
+    def table(df, name, *a):
+        out = write(df, name, *a)
+        seen.setdefault(name, []).append((out.count(), df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(common, "table", table)
+    return seen
+
+
+def test_long_texts_that_share_a_passage_are_no_candidates(spark, tables):
+    """Pipeline on 0.51 GB: long texts that have little in common took the disk, as few buckets do not tell them apart."""
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(300)]
+    values = [" ".join([f"w{r.randrange(10**9)}" for _ in range(6000)] + passage) for _ in range(8)]
+    copy = values[0].split(" ")
+    copy[3000:3400] = [f"x{i}" for i in range(400)]
+    values.append(" ".join(copy))
+    want, pairs = plain(values)
+    assert pairs == 1 and want[8] == 0
+    got = {r["doc_id"]: r["component_id"] for r in setjoin.near_duplicates(documents(spark, values)).collect()}
+    assert got == want
+    assert [n for n, _ in tables["shingle-candidates"]] == [1, 0]
+
+
+def test_texts_are_not_shuffled(spark, tables):
+    """Pipeline on 0.51 GB: every text was shuffled, twice, to find those that are compared."""
+    values = near_copies()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the ids are too many for a broadcast
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in setjoin.near_duplicates(documents(spark, values)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == plain(values)[0]
+    plans = [plan for name in ("links-of-leaders", "links-across") for _, plan in tables[name]]
+    assert len(plans) == 2 and not any("SortMergeJoin" in plan for plan in plans)
+
+
+def test_bucket_counts_never_rule_out_a_link():
+    """Sets of either side of a size at which the buckets double, and a bucket that is full."""
+    r = random.Random(7)
+    common_part = [r.randrange(1 << 60) for _ in range(1000)]
+    full = np.arange(100_000, dtype=np.uint64)
+    full = full[mix(full) % np.uint64(256) == 0][:330].tolist()
+    sets = [common_part + [r.randrange(1 << 60) for _ in range(k)] for k in (0, 20, 24, 25, 100, 230)] + [full[:270], full]
+    sets = [np.unique(np.array(x, np.uint64)) for x in sets]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    counts, begin = setjoin.sketches(np.concatenate(sets), at)
+    held = (np.diff(at), begin, counts)
+    assert counts.max() == 255 and set(np.diff(begin).tolist()) == {setjoin.BUCKETS, 2 * setjoin.BUCKETS}
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(sets)) for j in range(len(sets))], strict=True))
+    bound = Fraction(4, 5)
+    true = np.array([setjoin.linked(sets[i], sets[j], bound) for i, j in zip(a, b, strict=True)])
+    near = setjoin.close(a, b, held, bound)
+    assert near[true].all() and true.sum() > len(sets) and not near[(a < 6) & (b >= 6)].any()
